@@ -8,6 +8,7 @@ a text is cut by the pattern itself.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable
 
@@ -84,6 +85,15 @@ class UnitCache:
 
     def texts(self, texts: list[str]) -> list:
         """The joined value of each text."""
+        collects = gc.isenabled()
+        gc.disable()  # the many small lists of a batch hold no cycles
+        try:
+            return self._texts(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _texts(self, texts: list[str]) -> list:
         plain = [is_plain(t) for t in texts]
         heads = [t.split(" ", 1)[0] if ok else t for t, ok in zip(texts, plain, strict=True)]
         tails = pa.array([t[len(h) + 1 :] if len(t) > len(h) else None for t, h in zip(texts, heads, strict=True)], pa.large_string())

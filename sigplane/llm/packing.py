@@ -57,8 +57,8 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for low in range(0, len(batch), 1024):
-                some = batch.iloc[low : low + 1024]
+            for low in range(0, len(batch), 4096):
+                some = batch.iloc[low : low + 4096]
                 ids = [b + end for b in token_bytes([t or "" for t in some["text"]], path)]
                 counts = np.array([len(b) // _WIDTH for b in ids], "int64")
                 starts = at + np.cumsum(counts) - counts
@@ -81,11 +81,11 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, sequence: int = SEQUE
     spark = docs.sparkSession
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     tokens = storage.written(tokenized(docs, path, id_col, text_col, end_id), "tokens")
-    # One row per task of the first pass, not per document.
+    # One row per task of the first pass, not per document: a few MB at a hundred thousand tasks.
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total")).orderBy("part").collect()
     before = [0, *accumulate(r["total"] for r in totals)]
     offsets = spark.createDataFrame([(r["part"], b) for r, b in zip(totals, before, strict=False)], "part int, part_start long")
-    placed = tokens.join(offsets, "part").withColumn("first", F.col("part_start") + F.col("local_start"))
+    placed = tokens.join(F.broadcast(offsets), "part").withColumn("first", F.col("part_start") + F.col("local_start"))
     size = F.lit(sequence)
     window = F.explode(F.expr(f"sequence(first div {sequence}, (first + doc_tokens - 1) div {sequence})"))
     cut = placed.select("doc_id", "doc_tokens", "first", "ids", window.alias("sequence_id"))
