@@ -14,8 +14,8 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,33 +167,35 @@ def encode(docs: DataFrame, *, ranks: str | None = None, id_col: str = "doc_id",
     """
     path = ranks or public_tokenizers.path(RANKS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for low in range(0, len(batch), 256):
-                some = batch.iloc[low : low + 256]
-                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "ids": encode_texts([t or "" for t in some["text"]], path)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, len(whole), 1024):
+                batch = whole.slice(low, 1024)
+                ids = encode_texts([t or "" for t in batch["text"].to_pylist()], path)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {id_type}, ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, ids array<int>")
 
 
 def digest(docs: DataFrame, *, ranks: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, in the same pass as the encoding."""
     path = ranks or public_tokenizers.path(RANKS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, names = _tools(path)[0], [str(i) for i in range(_tools(path)[0].size)]
-        for batch in batches:
-            rows = []
-            for low in range(0, len(batch), 256):
-                for ids in encode_texts([t or "" for t in batch["text"].iloc[low : low + 256]], path):
-                    text = ",".join(map(names.__getitem__, ids))
-                    rows.append((len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _tools(path)[0]
+        names = [str(i) for i in range(encoder.size)]
+        for whole in batches:
+            for low in range(0, len(whole), 1024):
+                batch = whole.slice(low, 1024)
+                counts, encoded, decoded = [], [], []
+                for ids in encode_texts([t or "" for t in batch["text"].to_pylist()], path):
+                    counts.append(len(ids))
+                    encoded.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,20 +54,21 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(part, local_start, doc_id, doc_tokens, ids) of each row; ``part`` is the task that made it."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for low in range(0, len(batch), 4096):
-                some = batch.iloc[low : low + 4096]
-                ids = [b + end for b in token_bytes([t or "" for t in some["text"]], path)]
+        for whole in batches:
+            for low in range(0, len(whole), 4096):
+                batch = whole.slice(low, 4096)
+                ids = [b + end for b in token_bytes([t or "" for t in batch["text"].to_pylist()], path)]
                 counts = np.array([len(b) // _WIDTH for b in ids], "int64")
                 starts = at + np.cumsum(counts) - counts
                 at += int(counts.sum())
-                yield pd.DataFrame({"part": part, "local_start": starts, "doc_id": some["doc_id"].to_numpy(), "doc_tokens": counts, "ids": ids})
+                parts = pa.array(np.full(len(ids), part, "int32"))
+                yield pa.RecordBatch.from_arrays([parts, pa.array(starts), batch["doc_id"], pa.array(counts), pa.array(ids, pa.binary())], ["part", "local_start", "doc_id", "doc_tokens", "ids"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"part int, local_start long, doc_id {id_type}, doc_tokens long, ids binary")
+    return rows.mapInArrow(run, f"part int, local_start long, doc_id {id_type}, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, *, tokenizer: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
