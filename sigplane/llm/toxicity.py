@@ -30,11 +30,11 @@ FEATURES = 2_000
 WINDOW = 64
 WINDOWS = 6_000
 _WORD = re.compile(r"\w+")
-_LENGTHS = (3, 4, 5, 6)
+_LENGTHS = (3, 4, 5, 6, 7, 8)
 
 
 def token_features(word: str) -> list[str]:
-    """A word's features: itself, and its beginnings of 3 to 6 letters with a mark."""
+    """A word's features: itself, and its beginnings of 3 to 8 letters with a mark."""
     return [word, *("^" + word[:k] for k in _LENGTHS if len(word) >= k)]
 
 
@@ -197,7 +197,7 @@ def _telling(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, float]
     a, b = count(toxic), count(clean)
     n1, n0 = len(toxic), len(clean)
     share = n1 / max(n1 + n0, 1)
-    least = np.log(20.0 * max(len(a), 1))
+    least = np.log(5.0 * max(len(a), 1))
     out = {}
     for f, x in a.items():
         y = b[f]
