@@ -76,6 +76,18 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold; cases as in :func:`classify`."""
+    model = train(docs, labels.where(~held_out()), sample=sample)
+    rows = features(docs.select(F.struct("*").alias("row"), "text"), ["row"])
+
+    @F.pandas_udf("double")
+    def additive(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(model.score(x.to_numpy(np.float64)))
+
+    return rows.withColumn("score", additive(F.struct(*FEATURES))).where(F.col("score") >= threshold).select("row.*")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

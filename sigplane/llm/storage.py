@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +27,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{_FOLDER}/{spark.sparkContext.applicationId}"
+_scope = "default"
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables written in the block are released by this name."""
+    global _scope
+    before, _scope = _scope, name
+    try:
+        yield
+    finally:
+        _scope = before
+
+
+def _root(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{_FOLDER}/{spark.sparkContext.applicationId}/{name}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a scan of that table."""
     spark = df.sparkSession
-    path = f"{_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_root(spark, _scope)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table this application wrote with :func:`written`."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+def release(spark: SparkSession, name: str = "default") -> None:
+    """Delete the tables of a scope; frames that still read them must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark, name))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
