@@ -302,7 +302,7 @@ def campaign(spark: SparkSession, planes: DataFrame, rows: int, cells: list[tupl
     top = seen.groupBy("cell", "plane", "row_id", "byte").agg(F.sum("n").alias("r"), F.max("n").alias("most"), F.count("*").alias("kinds"), F.max_by("now", F.struct("n", -F.col("now"))).alias("voted"))
     given = F.when(F.col("most") * 2 > F.col("r"), F.col("voted")).otherwise(F.col("byte"))
     per_plane = top.groupBy("cell", "plane").agg(
-        F.sum((given - F.col("byte")).cast("decimal(38,0)") * weight(F.col("plane"))).alias("damage"), F.bool_or("kinds > 1").alias("detected"),
+        F.sum((given - F.col("byte")).cast("decimal(38,0)") * weight(F.col("plane"))).alias("damage"), F.bool_or(F.col("kinds") > 1).alias("detected"),
         F.bool_and((F.col("most") * 2 > F.col("r")) & (F.col("voted") == F.col("byte"))).alias("right"), F.max("r").alias("r"),
     )
     kind = plane_outcome(F.col("r"), F.lit(True), F.col("detected"), F.col("right"))

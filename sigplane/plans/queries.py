@@ -146,9 +146,9 @@ def _register() -> None:
     policy = ", ".join(f"('{n}', '{k}', {b}, {p}, {1 + e})" for n, k, b, extras in R.catalogue() for p, e in enumerate(extras))
     _add("policy_catalogue", lambda sp, sf: R.policies(sp), f"SELECT policy, kind, CAST(budget AS BIGINT) AS budget, CAST(plane AS BIGINT) AS plane, CAST(replicas AS BIGINT) AS replicas FROM (VALUES {policy}) AS v(policy, kind, budget, plane, replicas)")
     _add("digests", lambda sp, sf: R.digests(_fixed(sp, sf)), f"{_FIXED}, w AS (SELECT *, CAST(byte * pow(256, row_id % 4) AS HUGEINT) AS word, (row_id // 4) % 2 = 0 AS even FROM f) SELECT plane, CAST(sum(byte) % 4294967296 AS BIGINT) AS sum32, CAST(sum(word) % 4294967296 AS BIGINT) AS words32, CAST(sum(byte) AS BIGINT) AS sum64, bit_xor(byte) AS xor8, CAST(coalesce(sum(word) FILTER (even), 0) % 4294967296 AS BIGINT) AS even32, CAST(coalesce(sum(word) FILTER (NOT even), 0) % 4294967296 AS BIGINT) AS odd32, CAST(sum(byte * (row_id + 1)) % 4294967296 AS BIGINT) AS weighted32 FROM w GROUP BY plane")
-    voted = f"{_FIXED}, {_PLAN_SQL}, net AS (SELECT plane, replica, row_id, bit_xor(mask) AS mask FROM plan GROUP BY ALL), c AS (SELECT f.plane, r.r AS replica, f.row_id, f.byte AS clean, xor(f.byte, coalesce(net.mask, 0)) AS byte FROM f CROSS JOIN (SELECT unnest(range(3)) AS r) r LEFT JOIN net ON net.plane = f.plane AND net.replica = r.r AND net.row_id = f.row_id), v AS (SELECT plane, row_id, any_value(clean) AS clean, mode(byte) AS byte, min(byte) = max(byte) AS same FROM c GROUP BY plane, row_id)"
+    voted = f"{_FIXED}, {_PLAN_SQL}, net AS (SELECT plane, replica, row_id, bit_xor(mask) AS mask FROM plan GROUP BY ALL), cp AS (SELECT f.plane, r.r AS replica, f.row_id, f.byte AS clean, xor(f.byte, coalesce(net.mask, 0)) AS byte FROM f CROSS JOIN (SELECT unnest(range(3)) AS r) r LEFT JOIN net ON net.plane = f.plane AND net.replica = r.r AND net.row_id = f.row_id), v AS (SELECT plane, row_id, any_value(clean) AS clean, mode(byte) AS byte, min(byte) = max(byte) AS same FROM cp GROUP BY plane, row_id)"
     _add("vote_r3", lambda sp, sf: _voted(sp, sf).groupBy("plane").agg(F.sum("byte").alias("total"), F.count_if("agreed").alias("agreed")), f"{voted} SELECT plane, CAST(sum(byte) AS BIGINT) AS total, count(*) AS agreed FROM v GROUP BY plane")
-    _add("inject_r1_sum", lambda sp, sf: R.encoded_sum(R.inject(R.replicate(f := _fixed(sp, sf), [1] * 8), _plan(f).where("replica = 0"))).select(F.col("total").cast("long").alias("total")), f"{voted} SELECT CAST(sum(CAST(byte AS HUGEINT) * CAST(pow(256, 7 - plane) AS HUGEINT)) AS BIGINT) AS total FROM c WHERE replica = 0")
+    _add("inject_r1_sum", lambda sp, sf: R.encoded_sum(R.inject(R.replicate(f := _fixed(sp, sf), [1] * 8), _plan(f).where("replica = 0"))).select(F.col("total").cast("long").alias("total")), f"{voted} SELECT CAST(sum(CAST(byte AS HUGEINT) * CAST(pow(256, 7 - plane) AS HUGEINT)) AS BIGINT) AS total FROM cp WHERE replica = 0")
     _add("exposure", lambda sp, sf: R.exposure(_plan(_fixed(sp, sf))), f"{_FIXED}, {_PLAN_SQL}, net AS (SELECT plane, replica, row_id, bit_xor(mask) AS mask FROM plan GROUP BY ALL) SELECT (SELECT count(*) FROM plan) AS events, (SELECT CAST(sum(bit_count(mask)) AS BIGINT) FROM plan) AS bit_flips, (SELECT count(DISTINCT plane) FROM plan) AS planes, (SELECT count(DISTINCT row_id // 4096) FROM plan) AS segments, count(*) AS bytes, count(*) FILTER (mask = 0) AS cancelled, CAST(coalesce(sum(pow(2.0, 8 * (7 - plane))) FILTER (mask <> 0), 0) AS DOUBLE) AS impact FROM net")
     _add("certified_bound", lambda sp, sf: R.certified_bound(_plan(_fixed(sp, sf)).select("plane").distinct(), 1000).select(F.col("bound").cast("long").alias("bound")), f"{_FIXED}, {_PLAN_SQL} SELECT CAST(sum(255 * 1000 * CAST(pow(256, 7 - plane) AS HUGEINT)) AS BIGINT) AS bound FROM (SELECT DISTINCT plane FROM plan)")
     _add("repair_status", lambda sp, sf: R.repair(R.inject(R.replicate(f := _fixed(sp, sf), [3] * 8), _plan(f)), R.crc32_units(f)).groupBy("status").agg(F.count("*").alias("units")))
