@@ -1,0 +1,232 @@
+"""Operators of the subpackage against brute force, round trips, and awkward inputs."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from sigplane.llm import bpe, fingerprint, gam, html, jaccard, lines, packing, pii, quality, registry, rules, toxicity
+
+SF = "/root/testdata/sf0.001"
+LONG = " ".join(f"w{i % 977}" for i in range(30_000))
+AWKWARD = [(1, None), (2, ""), (3, "one"), (3, "one"), (4, "a b c d e f\na b c d e g\n\na b c d e f"), (5, LONG), (6, LONG), (7, "é　x  y\n z"), (None, "no id")]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    rows = [(i, t, "en", "src", -1, "clash") for i, t in AWKWARD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, ids long, words string")
+
+
+@pytest.fixture(scope="module")
+def empty(awkward):
+    return awkward.where("false")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 8)], "doc_id long, quality int, toxic int")
+
+
+def _every(labels):
+    return {
+        "fingerprint": fingerprint.fingerprint, "lines": lines.dedup_lines, "jaccard": jaccard.join, "rules": rules.judge, "packing": packing.pack, "bpe": bpe.encode, "pii": pii.protect,
+        "quality": lambda d: quality.classify(d, labels), "toxicity": lambda d: toxicity.detect(d, labels),
+    }
+
+
+@pytest.mark.parametrize("name", ["fingerprint", "lines", "jaccard", "rules", "packing", "bpe", "pii", "quality", "toxicity"])
+def test_awkward_rows_and_empty_tables(awkward, empty, labels, name):
+    op = _every(labels)[name]
+    rows = op(awkward).collect()
+    if name != "packing":
+        assert len(rows) == len(AWKWARD)
+    assert {r["doc_id"] for r in rows} == {i for i, _ in AWKWARD}
+    assert op(empty).count() == 0
+
+
+def test_fingerprints(spark):
+    rows = fingerprint.op1_fingerprint(spark, SF).collect()
+    texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet'").fetchall())
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    by_text: dict[str, set] = {}
+    for r in rows:
+        text, n = texts[r["doc_id"]], len(texts[r["doc_id"]])
+        edited = text[: n - n // 2] + texts[after[r["doc_id"]]][: n // 2]
+        assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
+        by_text.setdefault(text, set()).add(r["fingerprint"])
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    assert all(len(f) == 1 for f in by_text.values())
+
+
+def test_fingerprint_is_order_sensitive(spark):
+    words = [f"w{i}" for i in range(400)]
+    moved = words[200:] + words[:200]
+    texts = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(moved)), (3, " ".join(words[:395] + ["x"] * 5))], "k long, text string")
+    s = {r["k"]: r["signature"] for r in fingerprint.signatures(texts, ["k"]).collect()}
+    like = lambda a, b: np.mean([x == y for x, y in zip(a, b, strict=True)])
+    assert like(s[1], s[3]) > 0.85 > 0.75 > like(s[1], s[2])
+
+
+def _near(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = (a, b) if len(a) > len(b) else (b, a)
+    return any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
+
+
+def test_line_dedup(spark):
+    r = random.Random(5)
+    made = []
+    for d in range(40):
+        text = []
+        for _ in range(6):
+            line = [f"w{r.randrange(3)}" for _ in range(r.randrange(0, 8))]
+            text.append(" ".join(line))
+        made.append((d, "\n".join(text)))
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    places = [(d, i, tuple(line.split())) for d, t in made for i, line in enumerate(t.split("\n")) if line.split()]
+    first: dict = {}
+    for d, i, w in places:
+        first.setdefault(w, (d, i))
+    least = {w: min([first[w], *(first[v] for v in first if min(len(v), len(w)) >= 5 and _near(v, w))]) for w in first}
+    gone = {(d, i) for d, i, w in places if (d, i) > least[w]}
+    for d, t in made:
+        assert got[d] == "\n".join(line for i, line in enumerate(t.split("\n")) if (d, i) not in gone)
+
+
+def test_jaccard_components(spark):
+    r = random.Random(2)
+    docs, base = [], [f"b{i}" for i in range(60)]
+    for i in range(60):
+        words = base[:]
+        for _ in range(r.randrange(0, 3)):
+            words[r.randrange(60)] = f"x{r.randrange(1000)}"
+        docs.append((i, " ".join(words)))
+    docs += [(100 + i, " ".join(f"y{r.randrange(400)}" for _ in range(50))) for i in range(30)] + [(200, "Two words"), (201, "two WORDS"), (202, ""), (203, None)]
+    sets = {d: frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w := (t or "").lower().split()) >= 4 else frozenset([tuple(w)] if w else []) for d, t in docs}
+    parent = {d: d for d in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: (len(s), top(d)) for d, s in sets.items()}
+
+
+def test_packing_covers_every_id(spark):
+    rows = packing.pack(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet'").fetchall())
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    pieces: dict = {}
+    lengths: dict = {}
+    for x in sorted(rows, key=lambda x: (x["sequence_id"], x["offset"])):
+        assert x["offset"] == lengths.get(x["sequence_id"], 0)
+        lengths[x["sequence_id"]] = x["offset"] + x["length"]
+        pieces.setdefault(x["doc_id"], []).append((x["start"], bytes(x["ids"])))
+    assert sorted(lengths) == list(range(len(lengths))) and set(list(lengths.values())) <= {1024, lengths[max(lengths)]}
+    for d, text in texts.items():
+        ids = np.frombuffer(b"".join(b for _, b in sorted(pieces[d])), "<u4").tolist()
+        assert ids == [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_bpe_equals_the_library():
+    path = public_tokenizers.path(bpe.RANKS)
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(1)
+    texts = ["".join(r.choice(" \n\tab  éß1!'s.　字") for _ in range(r.randrange(60))) for _ in range(500)] + ["a" * 20_000, "".join(r.choice("abc") for _ in range(20_000))]
+    got = bpe.encode_texts(texts, path)
+    assert got == [theirs.encode_ordinary(t) for t in texts]
+    decode = bpe.Encoder.from_file(path).decode
+    assert [decode(ids).decode() for ids in got] == texts
+
+
+def test_html():
+    page = "<html><body><nav><a href=x>Menu</a></nav><header>Site</header><article><h1>Title &amp; more</h1><p>Some  long\ntext about things.<p>Second paragraph, <b>bold</b>.<div class='comments'>a reader</div></article><footer>end</footer>"
+    assert html.text_of(page) == "Title & more Some long text about things. Second paragraph, bold."
+    assert html.text_of("") == "" and html.text_of("<script>x</script>") == ""
+    assert len(html.text_of("<p>" + "word " * 50_000 + "</p>")) == 249_999
+    assert html.text_of("<div>" * 5_000 + "deep") == "deep"
+
+
+def test_pseudonyms():
+    for size in (1, 2, 10, 97, 1000):
+        f = pii.Feistel(b"k", size, "t")
+        assert sorted(map(f.permute, range(size))) == list(range(size))
+        assert all(f.invert(f.permute(i)) == i for i in range(size))
+    new, spans = pii.pseudonymized("card 4111 1111 1111 1111, bad 4111 1111 1111 1112, on 2020-02-29 and 29.02.2020, not 2021-02-30", b"k")
+    assert [k for *_, k in spans] == ["card", "date", "date"] and "1112" in new and "2021-02-30" in new
+    card = re.search(r"card ([\d ]+),", new)[1]
+    assert pii.luhn(card.replace(" ", "")) == 0 and card != "4111 1111 1111 1111"
+    assert pii.pseudonymized("4111111111111111", b"k")[0] == card.replace(" ", "")
+
+
+def test_rules_agree_with_sql(spark):
+    got = sorted(tuple(r[c] for c in sorted(r.asDict())) for r in rules.op6_rules(spark, SF).collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = c.sql(registry.oracle_sql()["op6_rules"])
+    assert got == sorted(want.project(", ".join(sorted(want.columns))).fetchall())
+
+
+def test_additive_model_learns_an_interaction():
+    r = np.random.default_rng(0)
+    x = r.random((4000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(int)
+    model = gam.fit(x[:3000], y[:3000])
+    assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality.op3_quality(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    assert got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.93
+
+
+def test_chain_marginals_equal_enumeration():
+    from itertools import product
+
+    r = random.Random(3)
+    crf = toxicity.Crf({"a": 2.0}, bias=-1.3, move=[[0.4, -0.7], [-0.2, 0.9]])
+    for _ in range(50):
+        e = [r.choice([None, None, 1.1, -0.5]) for _ in range(r.randint(1, 8))]
+        total, sums = 0.0, [0.0] * len(e)
+        for s in product((0, 1), repeat=len(e)):
+            w = np.exp(sum((crf.bias if e[i] is None else e[i]) * s[i] for i in range(len(e))) + sum(crf.move[a][b] for a, b in zip(s, s[1:], strict=False)))
+            total += w
+            sums = [x + w * b for x, b in zip(sums, s, strict=True)]
+        for i, p in crf.marginals(e):
+            assert p == pytest.approx(sums[i] / total)
+
+
+def test_toxic_spans():
+    r = random.Random(4)
+    common = [f"word{i}" for i in range(200)]
+    say = lambda bad: " ".join([r.choice(common) for _ in range(60)] + ([r.choice(["badstem", "badstemx"])] if bad else []) + [r.choice(common) for _ in range(20)])
+    crf = toxicity.fit([say(True) for _ in range(60)], [say(False) for _ in range(200)])
+    spans, total, any_one = crf.read("hello badstem there")
+    assert [(a, b) for a, b, _ in spans] == [(6, 13)] and crf.score(total, any_one) > 0.5
+    assert crf.score(*crf.read(say(False))[1:]) < 0.5
