@@ -27,6 +27,8 @@ from sigplane.llm.chunks import UnitCache
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SEQUENCE = 1024
+#: Encodings that a worker holds at a time.
+ENCODED = 4096
 _WIDTH = 4  # bytes of an id, little-endian unsigned
 
 
@@ -40,7 +42,8 @@ def _cache(path: str) -> UnitCache:
     plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def encode(pretokens: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in plain.encode_batch_fast(pretokens, add_special_tokens=False)]
+        blocks = (pretokens[i : i + ENCODED] for i in range(0, len(pretokens), ENCODED))  # an encoding is much larger than its ids
+        return [array("I", e.ids).tobytes() for block in blocks for e in plain.encode_batch_fast(block, add_special_tokens=False)]
 
     return UnitCache(encode, b"".join)
 
