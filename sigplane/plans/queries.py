@@ -11,6 +11,7 @@ from sigplane.functions import codec
 from sigplane.operators import aggregates as A
 from sigplane.operators import predicate as P
 from sigplane.operators import reliability as R
+from sigplane.operators import reports
 from sigplane.plans import layout
 from sigplane.sources import raw as raw_source
 
@@ -163,7 +164,58 @@ def _register() -> None:
     _add("campaign_summary", lambda sp, sf: campaign(sp, sf).groupBy("policy", "outcome").agg(F.count("*").alias("cells"), F.avg(F.col("contains_truth").cast("int")).alias("contained")))
 
 
+#: Events read as a table of runs, in both dialects.
+_RUNS = [
+    "event_id AS run_id", "event_type AS dataset", "CAST(user_id % 4 + 1 AS INT) AS k", "value AS threshold", "CAST(event_id % 100 AS DOUBLE) / 100 AS selectivity", "CAST(event_id % 50 + 1 AS DOUBLE) AS seconds",
+    "CASE WHEN event_id % 3 = 0 THEN 's50' ELSE 's10' END AS selectivity_label", "CASE WHEN event_id % 2 = 0 THEN 'fused' ELSE 'raw' END AS kernel",
+]
+_R = f"WITH runs AS (SELECT {', '.join(_RUNS)} FROM events)"
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").selectExpr(*_RUNS)
+
+
+def _register_reports() -> None:
+    _add("report_headline", lambda sp, sf: _runs(sp, sf).groupBy("dataset", reports.percent_bucket(F.col("selectivity")).alias("percent")).agg(F.count("*").alias("runs"), F.min("seconds").alias("best")),
+         f"{_R} SELECT dataset, CASE WHEN selectivity < 0.15 THEN 10 WHEN selectivity < 0.55 THEN 50 ELSE 90 END AS percent, count(*) AS runs, min(seconds) AS best FROM runs GROUP BY ALL")
+
+    def throughput(sp: SparkSession, sf: str) -> DataFrame:
+        runs = _runs(sp, sf).withColumn("artifact", F.concat(F.lit("p"), F.col("run_id") % 3))
+        best = runs.groupBy("dataset", "artifact").agg((F.max("run_id") % 5 + 1).cast("int").alias("k_star"))
+        speed = runs.groupBy("dataset", "artifact", "k").agg(F.avg("seconds").alias("seconds"))
+        return reports.with_throughput(best, speed).select("dataset", reports.precision_power(F.col("artifact")).alias("power"), "k_star", F.round("seconds", 6).alias("seconds"))
+
+    _add("report_k_star_throughput", throughput, f"""{_R}, r AS (SELECT *, run_id % 3 AS power FROM runs), b AS (SELECT dataset, power, CAST(max(run_id) % 5 + 1 AS INT) AS k_star FROM r GROUP BY ALL),
+ s AS (SELECT dataset, power, k, avg(seconds) AS seconds FROM r GROUP BY ALL) SELECT b.dataset, CAST(b.power AS INT) AS power, k_star, round(seconds, 6) AS seconds FROM b LEFT JOIN s ON b.dataset = s.dataset AND b.power = s.power AND k_star = k""")
+    _add("report_match_reference", lambda sp, sf: reports.match_reference((r := _runs(sp, sf)).where("run_id % 2 = 1"), r.where("run_id % 2 = 0").withColumnRenamed("run_id", "ref_id").withColumn("selectivity", F.col("selectivity") * 100)),
+         f"""{_R}, p AS (SELECT a.run_id, b.run_id AS ref_id, abs(b.threshold - a.threshold) AS away, CASE WHEN b.selectivity * 100 > 1 THEN b.selectivity * 100 / 100 ELSE b.selectivity * 100 END AS s, a.selectivity AS t
+ FROM runs a JOIN runs b ON a.dataset = b.dataset AND a.k = b.k AND a.run_id % 2 = 1 AND b.run_id % 2 = 0 AND abs(b.threshold - a.threshold) <= greatest(1e-12, greatest(abs(a.threshold), abs(b.threshold)) * 1e-6)),
+ f AS (SELECT *, CASE WHEN abs(1 - s - t) <= 0.05 THEN abs(1 - s - t) ELSE abs(s - t) END AS far FROM p), o AS (SELECT *, far > 0.05 AS by_threshold_only FROM f)
+ SELECT run_id, ref_id, by_threshold_only FROM o QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY by_threshold_only, CASE WHEN by_threshold_only THEN away ELSE far END, ref_id) = 1""")
+    _add("report_native_speedup", lambda sp, sf: reports.with_native((r := _runs(sp, sf)).where("run_id % 2 = 1"), r.where("run_id % 3 = 0")).select("run_id", "native_seconds", F.round("native_speedup", 9).alias("native_speedup")),
+         f"""{_R}, n AS (SELECT * FROM runs WHERE run_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY dataset, selectivity, k ORDER BY run_id) = 1)
+ SELECT a.run_id, n.seconds AS native_seconds, round(a.seconds / n.seconds, 9) AS native_speedup FROM runs a JOIN n USING (dataset, selectivity, k) WHERE a.run_id % 2 = 1""")
+    _add("report_replace_runs", lambda sp, sf: reports.replace_runs((r := _runs(sp, sf)).select("run_id", "dataset"), r.where("dataset = 'click' AND k = 1").select("run_id", "dataset", "k")),
+         f"{_R} SELECT run_id, dataset, CAST(NULL AS INT) AS k FROM runs WHERE dataset NOT IN (SELECT dataset FROM runs WHERE dataset = 'click' AND k = 1) UNION ALL SELECT run_id, dataset, k FROM runs WHERE dataset = 'click' AND k = 1")
+
+    def traffic(sp: SparkSession, sf: str) -> DataFrame:
+        size = F.concat(F.col("run_id").cast("string"), F.when(F.col("k") == 1, " Gbyte").otherwise(" Mbyte"))
+        runs = _runs(sp, sf).where("run_id > 0").withColumn("dram", reports.megabytes(size))
+        one = runs.groupBy("dataset", F.when(F.col("k") == 4, "raw").otherwise(F.col("k").cast("string")).alias("k")).agg(F.sum("dram").alias("dram"), F.sum("seconds").alias("seconds"))
+        return reports.ratios_to_raw(one, ("dram", "seconds")).select("dataset", "k", "metric", *(F.round(c, 9).alias(c) for c in ("value", "ratio_to_raw", "reduction")))
+
+    _add("report_traffic", traffic, f"""{_R}, r AS (SELECT dataset, CASE WHEN k = 4 THEN 'raw' ELSE CAST(k AS VARCHAR) END AS k, sum(run_id * CASE WHEN k = 1 THEN 1024.0 ELSE 1.0 END)::DOUBLE AS dram, sum(seconds) AS seconds FROM runs WHERE run_id > 0 GROUP BY ALL),
+ l AS (SELECT dataset, k, 'dram' AS metric, dram AS value FROM r UNION ALL SELECT dataset, k, 'seconds', seconds FROM r)
+ SELECT l.dataset, l.k, l.metric, round(l.value, 9) AS value, round(l.value / w.value, 9) AS ratio_to_raw, round(w.value / l.value, 9) AS reduction FROM l JOIN l w ON l.dataset = w.dataset AND l.metric = w.metric AND w.k = 'raw'""")
+    _add("report_break_even", lambda sp, sf: reports.break_even(_runs(sp, sf).withColumn("dram_ratio", F.col("selectivity"))).select("run_id", "policy_region", F.round("dram_reduction", 9).alias("dram_reduction")),
+         f"{_R} SELECT run_id, CASE WHEN k >= 3 THEN 'fallback' ELSE 'dispatch_window' END AS policy_region, round(1 / nullif(selectivity, 0), 9) AS dram_reduction FROM runs WHERE selectivity_label = 's50' AND kernel = 'fused'")
+    _add("layout_summary", lambda sp, sf: reports.layout_summary(planes(sp, sf).meta).withColumns({c: F.round(c, 9) for c in ("planes_mean", "bytes_per_row")}),
+         f"""{_BASE}, q AS (SELECT row_count, CAST(ceil(fl / 8.0) AS BIGINT) AS p FROM m) SELECT count(*) AS segments, CAST(sum(row_count) AS BIGINT) AS "rows", min(p) AS planes_min, max(p) AS planes_max, round(avg(p), 9) AS planes_mean, round(sum(p * row_count) / sum(row_count), 9) AS bytes_per_row FROM q""")
+
+
 _register()
+_register_reports()
 
 
 def queries() -> dict[str, Query]:
