@@ -28,7 +28,7 @@ KINDS = ("secret", "email", "iban", "card", "phone", "ssn", "ip", "date")
 _FIND = re.compile(
     r"(?P<secret>\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?(?P<value>[A-Za-z0-9_\-+/]{12,})|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,})\b)"
     r"|(?P<email>(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
+    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b)"
     r"|(?P<date>(?<![\d.,/-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|[.,]\d))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
@@ -37,7 +37,14 @@ _FIND = re.compile(
     re.I,
 )
 #: A text without any of these has nothing to find.
-_HINT = re.compile(r"\d\d|@|[:=]")
+_HINT, _KEYS = re.compile(r"\d\d|@|[:=]"), re.compile(r"akia|gh[pousr]_", re.I)
+#: How IBANs of a country without a known length are grouped.
+_GROUPED = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?", re.I)
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV NI", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_LENGTH = {c: n for n, cs in _IBAN_LENGTHS.items() for c in cs.split()}
 
 
 class Feistel:
@@ -215,21 +222,34 @@ def email(found: str, key: bytes) -> str:
 _MAKE: dict[str, Callable[[str, bytes], str | None]] = {"email": email, "iban": iban, "card": card, "phone": phone, "ssn": ssn, "ip": ip, "date": date}
 
 
+def _ends(kind: str, found: str) -> list[int]:
+    """Where a valid value that begins with the match may end, best first: a pattern takes what follows it too."""
+    if kind in ("card", "phone"):
+        return [g.end() for g in re.finditer(r"\d+\)?", found)][::-1]
+    if kind == "iban":
+        ends = [g.end() for g in re.finditer(r"[^ ]+", found)][::-1]
+        own = _IBAN_LENGTH.get(found[:2].upper())
+        of_country = [e for e in ends if e - found.count(" ", 0, e) == own]
+        return of_country + [e for e in ends if e not in of_country and _GROUPED.fullmatch(found, 0, e)]
+    return [len(found)]
+
+
 def pseudonymized(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """The new text, and (begin, end, kind) of what was replaced, as offsets in the old text."""
-    if not _HINT.search(text):
+    if not (_HINT.search(text) or _KEYS.search(text)):
         return text, []
     parts, spans, at, search = [], [], 0, 0
     while m := _FIND.search(text, search):
         kind = next(k for k in KINDS if m[k])
         begin, end = m.span("value") if kind == "secret" and m["value"] else m.span()
-        old = text[begin:end]
-        new = _string(old, key, "secret") if kind == "secret" else _MAKE[kind](old, key)
-        search = m.end()
+        if kind == "secret":
+            new, search = _string(text[begin:end], key, "secret"), m.end()
+        else:
+            tried = ((begin + e, _MAKE[kind](m[0][:e], key)) for e in _ends(kind, m[0]))
+            end, new = next((x for x in tried if x[1] is not None), (end, None))
+            # What has no valid beginning may hold something that is valid, after its first run of letters and digits.
+            search = end if new is not None else begin + re.match(r"\W*\w+", m[0]).end()
         if new is None:
-            # What isn't valid as a whole may hold something that is, after its first run of digits.
-            search = m.start() + (re.match(r"\W?\w+", m[0]) or m).end() if kind in ("iban", "phone") else m.end()
-            search = max(search, m.start() + 1) if kind in ("iban", "phone") else search
             continue
         parts += [text[at:begin], new]
         spans.append((begin, end, kind))
