@@ -208,12 +208,20 @@ def combined_outcome(outcome: Column) -> Column:
 
 
 FAMILIES = ("independent", "short_burst", "long_run", "column_offset", "dense_region", "region_burst", "twin", "mixed")
+#: The 11 severities of the families, by parameters of ``fault_plan``.
+SEVERITIES: dict[str, list[dict]] = {
+    "independent": [{}], "short_burst": [{"burst_min": 2, "burst_max": 2}, {"burst_min": 4, "burst_max": 4}], "long_run": [{"run_length": 8}, {"run_length": 512}],
+    "column_offset": [{"affected_row_fraction": 0.1}, {"affected_row_fraction": 1.0}], "dense_region": [{"density": 0.5, "region_size": 4096}], "region_burst": [{"burst_events": 10, "region_size": 1024}],
+    "twin": [{"target_replicas": [0, 1]}], "mixed": [{"f1_ratio": 0.5, "target_replicas": [0, 1]}],
+}
 
 
-def fault_plan(family: str, rate: float, seed: int, rows: int, replicas: list[int], segment: int = UNIT) -> list[tuple[int, int, int, int]]:
+def fault_plan(family: str, rate: float, seed: int, rows: int, replicas: list[int], segment: int = UNIT, severity: dict | None = None) -> list[tuple[int, int, int, int]]:
     """(plane, replica, row_id, mask) events of a family, seeded; their number follows the rate."""
+    how = severity or {}
     if family == "mixed":
-        return fault_plan("independent", rate / 2, seed, rows, replicas, segment) + fault_plan("twin", rate / 2, seed + 1, rows, replicas, segment)
+        share = how.get("f1_ratio", 0.5)
+        return fault_plan("independent", rate * share, seed, rows, replicas, segment) + fault_plan("twin", rate * (1 - share), seed + 1, rows, replicas, segment, how)
     r = random.Random(f"{family}:{seed}")
     wanted = max(1, round(rate * rows * PLANES))
     out: list[tuple[int, int, int, int]] = []
@@ -224,19 +232,26 @@ def fault_plan(family: str, rate: float, seed: int, rows: int, replicas: list[in
         if family == "independent":
             out.append((p, copy, at, mask()))
         elif family == "short_burst":
-            out += [(p, copy, x, mask()) for x in range(at, min(rows, at + r.randint(2, 8)))]
+            out += [(p, copy, x, mask()) for x in range(at, min(rows, at + r.randint(how.get("burst_min", 2), how.get("burst_max", 8))))]
         elif family == "long_run":
-            out += [(p, copy, x, 255) for x in range(at, min(rows, at + 64))]
+            out += [(p, copy, x, 255) for x in range(at, min(rows, at + how.get("run_length", 64)))]
         elif family == "column_offset":
-            out += [(p, copy, x, mask()) for x in range(at % segment, rows, segment)]
+            places = range(at % segment, rows, segment)
+            share = how.get("affected_row_fraction", 1.0)
+            out += [(p, copy, x, mask()) for x in (places if share >= 1 else sorted(r.sample(places, max(1, round(share * len(places))))))]
         elif family == "dense_region":
-            low = at // segment * segment
-            out += [(p, copy, x, mask()) for x in range(low, min(rows, low + segment)) if r.random() < 0.05]
+            region = how.get("region_size", segment)
+            low = at // region * region
+            out += [(p, copy, x, mask()) for x in range(low, min(rows, low + region)) if r.random() < how.get("density", 0.05)]
+        elif family == "region_burst" and "burst_events" in how:
+            low = at // how["region_size"] * how["region_size"]
+            places = [(q := r.randrange(PLANES), r.randrange(replicas[q]), r.randrange(low, min(rows, low + how["region_size"]))) for _ in range(how["burst_events"])]
+            out += [(*x, mask()) for x in places]
         elif family == "region_burst":
             out += [(q, r.randrange(replicas[q]), x, mask()) for q in range(PLANES) for x in range(at, min(rows, at + 4))]
         elif family == "twin":
             m = mask()
-            out += [(p, c, at, m) for c in range(min(2, replicas[p]))]
+            out += [(p, c, at, m) for c in how.get("target_replicas", [0, 1]) if c < replicas[p]]
         else:
             raise ValueError(f"unknown family {family}")
     return out
@@ -285,18 +300,30 @@ def allocation(units: DataFrame, budget_units: int, graded: bool = True) -> Data
     return picked.withColumn("replicas", F.lit(1 + cost).cast("long"))
 
 
-def campaign(spark: SparkSession, planes: DataFrame, rows: int, cells: list[tuple[str, str, float, int]]) -> DataFrame:
-    """One row per cell (policy, family, rate, seed): answers, bound, outcome; all cells in one job."""
-    extras = {n: e for n, _, _, e in catalogue()}
-    plan_rows, copy_rows = [], []
-    for c, (policy, family, rate, seed) in enumerate(cells):
-        replicas = [1 + e for e in extras[policy]]
-        copy_rows += [(c, p, r) for p, n in enumerate(replicas) for r in range(n)]
-        plan_rows += [(c, *e) for e in fault_plan(family, rate, seed, rows, replicas)]
-    masks = spark.createDataFrame(plan_rows, "cell long, plane long, replica long, row_id long, mask long").groupBy("cell", "plane", "replica", "row_id").agg(F.bit_xor("mask").alias("mask"))
+def grid(rates: list[float], seeds: list[int]) -> list[tuple[str, str, int, float, int]]:
+    """Cells (policy, family, severity, rate, seed) of all policies, families and severities."""
+    return [(n, f, v, rate, seed) for n, *_ in catalogue() for f in FAMILIES for v in range(len(SEVERITIES[f])) for rate in rates for seed in seeds]
+
+
+def campaign(spark: SparkSession, planes: DataFrame, rows: int, cells: list[tuple[str, str, int, float, int]]) -> DataFrame:
+    """One row per cell (policy, family, severity by its place, rate, seed): answers, bound, outcome; all cells in one job."""
+    replicas = {n: [1 + x for x in e] for n, _, _, e in catalogue()}
+    names = spark.createDataFrame([(c, *x) for c, x in enumerate(cells)], "cell long, policy string, family string, severity long, rate double, seed long")
+
+    def events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch.itertuples():
+                plan = fault_plan(x.family, x.rate, x.seed, rows, replicas[x.policy], severity=SEVERITIES[x.family][x.severity])
+                yield pd.DataFrame(plan, columns=["plane", "replica", "row_id", "mask"]).assign(cell=x.cell)
+
+    # The plans are made where the cells are, so their events never meet on the driver.
+    plans = names.repartition(max(8, len(cells) // 256), "cell").mapInPandas(events, "cell long, plane long, replica long, row_id long, mask long")
+    masks = plans.groupBy("cell", "plane", "replica", "row_id").agg(F.bit_xor("mask").alias("mask"))
+    counts = spark.createDataFrame([(n, p, c) for n, rs in replicas.items() for p, r in enumerate(rs) for c in range(r)], "policy string, plane long, replica long")
+    copy_rows = names.select("cell", "policy").join(F.broadcast(counts), "policy").drop("policy")
     # Only bytes that some fault hits differ from the clean ones, so only those are replicated and voted on.
     hit = masks.where("mask <> 0").select("cell", "plane", "row_id").distinct().join(planes, ["plane", "row_id"])
-    copies = hit.join(spark.createDataFrame(copy_rows, "cell long, plane long, replica long"), ["cell", "plane"]).join(masks, ["cell", "plane", "replica", "row_id"], "left")
+    copies = hit.join(copy_rows, ["cell", "plane"]).join(masks, ["cell", "plane", "replica", "row_id"], "left")
     copies = copies.withColumn("now", F.col("byte").bitwiseXOR(F.coalesce("mask", F.lit(0).cast("long"))))
     seen = copies.groupBy("cell", "plane", "row_id", "byte", "now").agg(F.count("*").alias("n"))
     top = seen.groupBy("cell", "plane", "row_id", "byte").agg(F.sum("n").alias("r"), F.max("n").alias("most"), F.count("*").alias("kinds"), F.max_by("now", F.struct("n", -F.col("now"))).alias("voted"))
@@ -307,5 +334,4 @@ def campaign(spark: SparkSession, planes: DataFrame, rows: int, cells: list[tupl
     )
     kind = plane_outcome(F.col("r"), F.lit(True), F.col("detected"), F.col("right"))
     per_cell = per_plane.groupBy("cell").agg(F.sum("damage").cast("decimal(38,0)").alias("damage"), F.sum(F.when(F.col("detected") & ~F.col("right"), F.lit(255 * rows) * weight(F.col("plane"))).otherwise(0)).cast("decimal(38,0)").alias("bound"), combined_outcome(kind).alias("outcome"))
-    names = spark.createDataFrame([(c, *x) for c, x in enumerate(cells)], "cell long, policy string, family string, rate double, seed long")
     return names.join(per_cell, "cell", "left").withColumn("outcome", F.coalesce("outcome", F.lit("EC"))).withColumn("contains_truth", F.abs(F.coalesce("damage", F.lit(0))) <= F.coalesce("bound", F.lit(0)))

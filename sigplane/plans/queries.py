@@ -155,7 +155,7 @@ def _register() -> None:
     _add("repair_status", lambda sp, sf: R.repair(R.inject(R.replicate(f := _fixed(sp, sf), [3] * 8), _plan(f)), R.crc32_units(f)).groupBy("status").agg(F.count("*").alias("units")))
     _add("crc32c_units", lambda sp, sf: R.crc32c_units(_fixed(sp, sf)))
     _add("ordered_digest_units", lambda sp, sf: R.ordered_digest_units(_fixed(sp, sf)))
-    cells = [(p, f, 1e-4, s) for p in ("uniform_r1", "uniform_r3", "graded_b4") for f in R.FAMILIES for s in (1, 2)]
+    cells = R.grid([1e-9, 1e-7, 1e-5, 1e-4], list(range(10)))
 
     def campaign(sp: SparkSession, sf: str) -> DataFrame:
         return R.campaign(sp, _fixed(sp, sf), raw(sp, sf).count(), cells)

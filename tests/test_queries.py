@@ -7,6 +7,7 @@ import math
 import duckdb
 import pytest
 
+from sigplane.operators import reliability as R
 from sigplane.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,18 @@ def test_agrees(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_runs(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
+
+
+def test_campaign_has_the_whole_grid(spark):
+    rows = queries.queries()["campaign"](spark, SF).select("policy", "family", "severity", "rate", "seed", "outcome").collect()
+    assert len({tuple(r)[:5] for r in rows}) == len(rows) == 20 * 11 * 4 * 10
+    assert {r["policy"] for r in rows} == {n for n, *_ in R.catalogue()}
+    assert {(r["family"], r["severity"]) for r in rows} == {(f, i) for f, x in R.SEVERITIES.items() for i in range(len(x))}
+    assert {r["rate"] for r in rows} >= {1e-9, 1e-7, 1e-5} and {r["outcome"] for r in rows} == {"EC", "MR", "DU", "SW"} - {"EC"}
+
+
+def test_severities_change_the_plans():
+    copies = [3] * 8
+    size = lambda f, i: len(R.fault_plan(f, 1e-9, 1, 100_000, copies, severity=R.SEVERITIES[f][i]))
+    assert (size("short_burst", 0), size("short_burst", 1), size("long_run", 0), size("long_run", 1), size("region_burst", 0)) == (2, 4, 8, 512, 10)
+    assert size("column_offset", 1) > 5 * size("column_offset", 0) and 1800 < size("dense_region", 0) < 2300
