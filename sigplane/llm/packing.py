@@ -9,8 +9,9 @@ that crosses a window's end leaves one boundary record per window.
 from __future__ import annotations
 
 import os
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -33,7 +34,8 @@ _WIDTH = 4  # bytes of an id, little-endian unsigned
 
 
 @lru_cache(maxsize=1)
-def _cache(path: str) -> UnitCache:
+def _cache(path: str) -> tuple[UnitCache, re.Pattern[str] | None, Callable[[str], bytes]]:
+    """The cache of words, a pattern of the added tokens, and the whole tokenizer, for texts that hold one of these."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -45,12 +47,18 @@ def _cache(path: str) -> UnitCache:
         blocks = (pretokens[i : i + ENCODED] for i in range(0, len(pretokens), ENCODED))  # an encoding is much larger than its ids
         return [array("I", e.ids).tobytes() for block in blocks for e in plain.encode_batch_fast(block, add_special_tokens=False)]
 
-    return UnitCache(encode, b"".join)
+    added = [re.escape(t.content) for t in whole.get_added_tokens_decoder().values()]
+    return UnitCache(encode, b"".join), re.compile("|".join(added)) if added else None, lambda text: array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, no special tokens."""
-    return _cache(path).texts(texts)
+    """Ids of each text as little-endian unsigned 32-bit numbers; none are put around a text."""
+    cache, added, encode = _cache(path)
+    special = {i for i, t in enumerate(texts) if added.search(t)} if added else set()
+    if not special:
+        return cache.texts(texts)
+    others = iter(cache.texts([t for i, t in enumerate(texts) if i not in special]))
+    return [encode(t) if i in special else next(others) for i, t in enumerate(texts)]
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:

@@ -151,6 +151,18 @@ def test_packing_covers_every_id(spark):
         assert ids == [*t.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_packing_knows_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    t = Tokenizer.from_file(path)
+    texts = ["plain words", "a <|endoftext|> b", "", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z", "a < |endoftext|> b", "more words"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.token_bytes(texts, path)]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert got[1] == [64, 220, 50256, 275] and got[3] == [50256]
+    assert packing.token_bytes(["<|endoftext|>"], path) == [np.array([50256], "<u4").tobytes()]
+
+
 def test_bpe_equals_the_library():
     path = public_tokenizers.path(bpe.RANKS)
     with open(path, "rb") as f:
