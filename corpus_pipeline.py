@@ -48,11 +48,11 @@ def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in full sequences."""
+    """Pieces of the documents in full sequences, with their ids and the crc32 of these."""
     _begin(spark)
     with storage.scope(_SCOPE):
         pieces = packing.pack(docs)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
