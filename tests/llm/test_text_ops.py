@@ -107,6 +107,43 @@ def test_line_dedup(spark):
         assert got[d] == "\n".join(line for i, line in enumerate(t.split("\n")) if (d, i) not in gone)
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def test_line_dedup_bound_grows_with_the_line(spark):
+    r = random.Random(6)
+    made = []
+    for d in range(60):
+        text = []
+        for base in range(4):
+            words = [f"b{base}w{i % 17}" for i in range((10, 14, 27, 100)[base])]
+            for _ in range(r.randrange(0, len(words) // 3)):
+                at, what = r.randrange(len(words)), r.randrange(3)
+                words[at : at + (what < 2)] = [r.choice(["x", "y", f"b{base}w{r.randrange(17)}"])] * (what > 0)
+            text.append(" ".join(words))
+        made.append((d, "\n".join(text)))
+    line = " ".join(f"v{i}" for i in range(100))
+    made += [(100, line), (101, line.replace("v3 ", "q ").replace("v70 ", "")), (102, " ".join(["same"] * 30)), (103, " ".join(["same"] * 25))]
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    seen, want = [], {}
+    for d, t in made:
+        kept = []
+        for line in t.split("\n"):
+            w = line.split()
+            if not any(w == v or min(len(v), len(w)) >= 5 and abs(len(v) - len(w)) <= min(len(v), len(w)) // 5 and _distance(v, w) <= min(len(v), len(w)) // 5 for v in seen):
+                kept.append(line)
+            seen.append(w)
+        want[d] = "\n".join(kept)
+    assert got == want
+    assert got[101] == "" and got[103] == "" and 0 < sum(x != "" for x in got.values()) < len(got)
+
+
 def test_jaccard_components(spark):
     r = random.Random(2)
     docs, base = [], [f"b{i}" for i in range(60)]
