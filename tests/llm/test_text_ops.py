@@ -200,6 +200,22 @@ def test_packing_knows_added_tokens():
     assert packing.token_bytes(["<|endoftext|>"], path) == [np.array([50256], "<u4").tobytes()]
 
 
+def test_packing_equals_the_library_on_odd_texts():
+    path = public_tokenizers.path(packing.TOKENIZER)
+    r = random.Random(7)
+    odd = " \n\tab  éß1!'s.　字Δжя١ ͅ"
+    texts = ["".join(r.choice(odd) for _ in range(r.randrange(60))) for _ in range(800)] + ["a\n", "a\n\n", "a b\n\n\n", "\na", "x\n\n\ny z\n\nw", LONG]
+    texts += [" ".join("".join(r.choice("abcdefghijkABC'éèñßжя字0189.,;:!?-_/()@#$%") for _ in range(r.randrange(1, 14))) for _ in range(r.randrange(1, 30))) for _ in range(2000)]
+    texts += [" ".join(chr(r.choice([r.randrange(33, 0x2FF), r.randrange(0x400, 0x500), r.randrange(0x4E00, 0x9FFF), r.randrange(0x10000, 0x1FFFF)])) for _ in range(20)) for _ in range(500)]
+    tokens = packing.Tokens(path)
+    assert tokens.quick is not None
+    ids, counts = tokens.encode(texts)
+    want = [x.ids for x in tokens.whole.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    tokens.quick = None
+    assert [x.tolist() for x in tokens.encode(texts)] == [ids.tolist(), counts.tolist()]
+
+
 def test_bpe_equals_the_library():
     path = public_tokenizers.path(bpe.RANKS)
     with open(path, "rb") as f:
