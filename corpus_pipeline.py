@@ -29,7 +29,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents without lines that an earlier line covers; ``n_chars`` follows the text."""
     _begin(spark)
     with storage.scope(_SCOPE):
-        return _counted(lines.dedup_lines(docs).select(*docs.columns))
+        return _counted(lines.dedup_lines(docs, counts=False))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
