@@ -1,10 +1,11 @@
 """Quality rules whose limits adapt to each language and source.
 
-Every document gets counts from built-in functions.  For each (language, source) the ratios are
-summarised in a quantile sketch of fixed resolution: counts per bin of one thousandth, which merge by
-addition, so they are pre-aggregated on the map side and never hold more than 1,001 bins a group.  The
-limit of a ratio is its upper quartile plus a multiple of the spread, but never stricter than a floor;
-the limits are joined back and the documents beyond one are rejected.
+Every document gets counts from built-in functions.  For each (language, source) each measure is summarised
+in a quantile sketch: counts of bins whose width is a 64th of their value at most, so that every quantile has
+that relative error.  Sketches merge by addition: they are pre-aggregated on the map side, hold some thousand
+bins at most, and those of a language's sources add up to the language's, which small sources use.  A limit
+is the upper decile plus a multiple of its distance to the median; for the length of words there is a lower one
+too.  The limits are joined back and the documents beyond one are rejected.
 """
 
 from __future__ import annotations
@@ -18,12 +19,18 @@ from sigplane.llm import storage
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS = 50
-BINS = 1000
-#: ratio: (numerator, denominator, spread multiple, floor of the limit in bins)
+#: Ratios are counted in millionths.
+UNIT = 1_000_000
+#: Bins of each power of two.
+STEPS = 64
+#: Groups of fewer documents take the limits of their language.
+MIN_GROUP = 30
+#: measure: (numerator, denominator, multiple of the distance between decile and median, least distance of a limit from the median, whether there is a lower limit)
 RATIOS = {
-    "symbols": ("n_symbols", "n_words", 4.0, 100),
-    "dup_lines": ("n_dup_lines", "n_lines", 4.0, 300),
-    "repeats": ("n_repeat_words", "n_words", 4.0, 200),
+    "symbols": ("n_symbols", "n_words", 6, 50_000, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 6, 200_000, False),
+    "repeats": ("n_repeat_words", "n_words", 6, 40_000, False),
+    "length": ("word_chars", "n_words", 6, 500_000, True),
 }
 
 
@@ -59,27 +66,58 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     return step.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
-def _bin(numerator: str, denominator: str) -> Column:
-    return F.least(F.floor(F.lit(BINS) * F.col(numerator) / F.greatest(F.col(denominator), F.lit(1))), F.lit(BINS)).cast("long")
+def _value(numerator: str, denominator: str) -> Column:
+    return F.floor(F.lit(UNIT) * F.col(numerator) / F.greatest(F.col(denominator), F.lit(1))).cast("long")
+
+
+def _shift(name: str, x: Column, by: Column) -> Column:
+    return F.call_function(name, x, by.cast("int"))
+
+
+def bin_of(v: Column) -> Column:
+    """The bin of a number: itself below ``STEPS``, else its power of two and the bits after the first."""
+    power = F.greatest(F.length(F.bin(v)) - STEPS.bit_length(), F.lit(0))
+    return (power * STEPS + _shift("shiftright", v, power)).cast("long")
+
+
+def bin_value(b: Column) -> Column:
+    """The least number of a bin."""
+    power = F.greatest(F.floor(b / STEPS) - 1, F.lit(0))
+    return _shift("shiftleft", b - STEPS * power, power).cast("long")
 
 
 def sketches(counts: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bin, n): mergeable, at most 1,001 bins a group and ratio."""
-    each = F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), _bin(a, b).alias("bin")) for r, (a, b, _, _) in RATIOS.items())))
-    return counts.where(~F.col("base_failed")).select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.ratio", "x.bin").agg(F.count("*").alias("n"))
+    """(lang, source, measure, bin, n) of the documents that pass the base rule."""
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("measure"), bin_of(_value(a, b)).alias("bin")) for r, (a, b, *_) in RATIOS.items())))
+    return counts.where(~F.col("base_failed")).select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bin").agg(F.count("*").alias("n"))
 
 
-def limits(sketch: DataFrame) -> DataFrame:
-    """(lang, source, limit of each ratio) from the sketches' quartiles."""
-    group = Window.partitionBy("lang", "source", "ratio")
+def merged(sketch: DataFrame, *by: str) -> DataFrame:
+    """The sum of the sketches of each group."""
+    return sketch.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
+
+
+def deciles(sketch: DataFrame, *by: str) -> DataFrame:
+    """(by, measure, total, q1, q5, q9): the lower decile, the median and the upper decile."""
+    group = Window.partitionBy(*by, "measure")  # the bins of a sketch, not documents
     run = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
+    cut = lambda k: bin_value(F.min(F.when(F.col("upto") * 10 >= F.col("total") * k, F.col("bin")))).alias(f"q{k}")
+    return run.groupBy(*by, "measure").agg(F.max("total").alias("total"), cut(1), cut(5), cut(9))
 
-    def quartile(k: int) -> Column:
-        return F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bin")))
 
-    q = run.groupBy("lang", "source", "ratio").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
-    chosen = F.coalesce(*(F.when(F.col("ratio") == r, F.greatest(F.lit(float(floor)), F.col("q3") + spread * (F.col("q3") - F.col("q1")))) for r, (_, _, spread, floor) in RATIOS.items()))
-    return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, chosen)).alias(f"max_{r}") for r in RATIOS))
+def limits(sketch: DataFrame) -> DataFrame:
+    """(lang, source, and least_ and most_ of each measure) from the sketches."""
+    own = deciles(sketch, "lang", "source")
+    whole = deciles(merged(sketch, "lang"), "lang").toDF("l", "m", "t", "w1", "w5", "w9")
+    both = own.join(whole, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m")))
+    q1, q5, q9 = (F.when(F.col("total") >= MIN_GROUP, F.col(f"q{k}")).otherwise(F.col(f"w{k}")) for k in (1, 5, 9))
+    found = []
+    for r, (_, _, multiple, least, lower) in RATIOS.items():
+        here = F.col("measure") == r
+        found.append(F.max(F.when(here, q5 + F.greatest(q9 - q5 + multiple * (q9 - q5), F.lit(least)))).alias(f"most_{r}"))
+        if lower:
+            found.append(F.max(F.when(here, q5 - F.greatest(q5 - q1 + multiple * (q5 - q1), F.lit(least)))).alias(f"least_{r}"))
+    return both.groupBy("lang", "source").agg(*found)
 
 
 def judge(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
@@ -94,8 +132,10 @@ def judge(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     bound = limits(sketches(counts)).withColumnsRenamed({"lang": "l", "source": "s"})
     joined = counts.join(bound, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     beyond = F.lit(False)
-    for r, (a, b, _, _) in RATIOS.items():
-        beyond = beyond | F.coalesce(_bin(a, b) > F.col(f"max_{r}"), F.lit(False))
+    for r, (a, b, _, _, lower) in RATIOS.items():
+        beyond = beyond | F.coalesce(_value(a, b) > F.col(f"most_{r}"), F.lit(False))
+        if lower:
+            beyond = beyond | F.coalesce(_value(a, b) < F.col(f"least_{r}"), F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~beyond).alias("kept"))
 
 
@@ -119,15 +159,25 @@ c AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
              CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-             least(1000 * n_symbols // greatest(n_words, 1), 1000) AS b1,
-             least(1000 * n_dup_lines // greatest(n_lines, 1), 1000) AS b2,
-             least(1000 * n_repeat_words // greatest(n_words, 1), 1000) AS b3 FROM c),
-q AS (SELECT lang, source,
-             greatest(100, quantile_disc(b1, 0.75) + 4 * (quantile_disc(b1, 0.75) - quantile_disc(b1, 0.25))) AS m1,
-             greatest(300, quantile_disc(b2, 0.75) + 4 * (quantile_disc(b2, 0.75) - quantile_disc(b2, 0.25))) AS m2,
-             greatest(200, quantile_disc(b3, 0.75) + 4 * (quantile_disc(b3, 0.75) - quantile_disc(b3, 0.25))) AS m3
-      FROM f WHERE NOT base_failed GROUP BY lang, source)
+             1000000 * n_symbols // greatest(n_words, 1) AS v1, 1000000 * n_dup_lines // greatest(n_lines, 1) AS v2,
+             1000000 * n_repeat_words // greatest(n_words, 1) AS v3, 1000000 * word_chars // greatest(n_words, 1) AS v4 FROM c),
+v AS (SELECT lang, source, m, v, greatest(length(bin(v)) - 7, 0) AS p
+      FROM (SELECT lang, source, unnest([1, 2, 3, 4]) AS m, unnest([v1, v2, v3, v4]) AS v FROM f WHERE NOT base_failed)),
+s AS (SELECT lang, source, m, p * 64 + (v >> CAST(p AS INTEGER)) AS b, count(*) AS n FROM v GROUP BY ALL),
+o AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, m ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, m) AS total FROM s),
+ws AS (SELECT lang, m, b, sum(n) AS n FROM s GROUP BY ALL),
+wo AS (SELECT *, sum(n) OVER (PARTITION BY lang, m ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, m) AS total FROM ws),
+d AS (SELECT lang, source, m, max(total) AS total, min(b) FILTER (upto * 10 >= total) AS b1, min(b) FILTER (upto * 10 >= total * 5) AS b5, min(b) FILTER (upto * 10 >= total * 9) AS b9 FROM o GROUP BY lang, source, m),
+wd AS (SELECT lang, m, min(b) FILTER (upto * 10 >= total) AS w1, min(b) FILTER (upto * 10 >= total * 5) AS w5, min(b) FILTER (upto * 10 >= total * 9) AS w9 FROM wo GROUP BY lang, m),
+e AS (SELECT d.lang, source, d.m, CASE WHEN total >= 30 THEN b1 ELSE w1 END AS b1, CASE WHEN total >= 30 THEN b5 ELSE w5 END AS b5, CASE WHEN total >= 30 THEN b9 ELSE w9 END AS b9
+      FROM d JOIN wd ON d.lang IS NOT DISTINCT FROM wd.lang AND d.m = wd.m),
+h AS (SELECT lang, source, m, (b1 - 64 * greatest(b1 // 64 - 1, 0)) << CAST(greatest(b1 // 64 - 1, 0) AS INTEGER) AS q1,
+             (b5 - 64 * greatest(b5 // 64 - 1, 0)) << CAST(greatest(b5 // 64 - 1, 0) AS INTEGER) AS q5,
+             (b9 - 64 * greatest(b9 // 64 - 1, 0)) << CAST(greatest(b9 // 64 - 1, 0) AS INTEGER) AS q9 FROM e),
+q AS (SELECT lang, source, max(q5 + greatest(7 * (q9 - q5), 50000)) FILTER (m = 1) AS m1, max(q5 + greatest(7 * (q9 - q5), 200000)) FILTER (m = 2) AS m2,
+             max(q5 + greatest(7 * (q9 - q5), 40000)) FILTER (m = 3) AS m3, max(q5 + greatest(7 * (q9 - q5), 500000)) FILTER (m = 4) AS m4,
+             max(q5 - greatest(7 * (q5 - q1), 500000)) FILTER (m = 4) AS l4 FROM h GROUP BY lang, source)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(b1 > m1, false) AND NOT coalesce(b2 > m2, false) AND NOT coalesce(b3 > m3, false) AS kept
+       NOT base_failed AND NOT coalesce(v1 > m1 OR v2 > m2 OR v3 > m3 OR v4 > m4 OR v4 < l4, false) AS kept
 FROM f LEFT JOIN q ON f.lang IS NOT DISTINCT FROM q.lang AND f.source IS NOT DISTINCT FROM q.source
 """

@@ -280,6 +280,30 @@ def test_rules_agree_with_sql(spark):
     assert got == sorted(want.project(", ".join(sorted(want.columns))).fetchall())
 
 
+def test_rule_limits_follow_the_source(spark):
+    r = random.Random(8)
+    words = lambda n, size: " ".join("".join(r.choice("abcdefgh") for _ in range(max(1, round(r.gauss(size, 0.6))))) for _ in range(n))
+    rows = [(i, words(80, 4), "en", "short") for i in range(60)] + [(100 + i, words(80, 9), "en", "long") for i in range(60)]
+    rows += [(1000, words(80, 9), "en", "short"), (1001, words(80, 9), "en", "long"), (1002, words(80, 4), "en", "long"), (1003, words(80, 4), "en", "new"), (1004, words(80, 9), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {x["doc_id"]: x["kept"] for x in rules.judge(docs).collect()}
+    assert [kept[i] for i in (1000, 1001, 1002, 1003, 1004)] == [False, True, False, True, True]
+    assert all(kept[i] for i, *_ in rows[:120])
+
+
+def test_sketch_quantiles_have_a_bounded_error(spark):
+    r = random.Random(9)
+    values = [int(r.lognormvariate(8, 3)) for _ in range(2000)]
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "v long, part int").select("part", F.lit("x").alias("measure"), rules.bin_of(F.col("v")).alias("bin"), F.col("v"))
+    bad = df.where((rules.bin_value(F.col("bin")) > F.col("v")) | (F.col("v") - rules.bin_value(F.col("bin")) > F.col("v") / rules.STEPS)).count()
+    parts = df.groupBy("part", "measure", "bin").agg(F.count("*").alias("n"))
+    got = rules.deciles(rules.merged(parts)).first()
+    assert not bad and got["total"] == 2000
+    for k in (1, 5, 9):
+        true = sorted(values)[-(-2000 * k // 10) - 1]
+        assert 0 <= true - got[f"q{k}"] <= true / rules.STEPS
+
+
 def test_additive_model_learns_an_interaction():
     r = np.random.default_rng(0)
     x = r.random((4000, 3))
