@@ -1,4 +1,10 @@
-"""A training-data pipeline: five stages, each written as Parquet and read again as the next one's input."""
+"""A training-data pipeline: five stages, each written as Parquet and read again as the next one's input.
+
+All stages keep null and empty texts as their operators do: the classifier scores them like any other, lines
+and near duplicates leave them alone, packing gives them their end id.  Rows that repeat an id are judged
+each by the classifier, lose the same lines, and are one node of the join.  An empty table gives an empty table.
+Columns beyond those of documents stay until packing, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -44,7 +50,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose personal numbers, dates, mail names and secrets are pseudonyms."""
     _begin(spark)
-    return _counted(pii.protect(docs).select(*docs.columns))
+    spans = f"spans_{uuid.uuid4().hex}"  # so that a column of the documents' own stays
+    return _counted(pii.protect(docs, spans_col=spans).drop(spans))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
+#: A tag with a quote that is never closed ends at the first ">".
+_OPEN_QUOTE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACES = re.compile(r"\s+")
 
@@ -80,7 +82,7 @@ def parse(html: str) -> Node:
             break
         if less > at:
             now.children.append(unescape(html[at:less]))
-        m = _TAG.match(html, less)
+        m = _TAG.match(html, less) or _OPEN_QUOTE.match(html, less)
         if not m:  # a lone "<" is text
             now.children.append("<")
             at = less + 1

@@ -1,7 +1,7 @@
 """Pseudonyms of personal numbers and dates that keep their format.
 
 A number or date is replaced only if it is valid: a card number by its check digit, a telephone number
-by its plan, an IP address by its octets, a date by the calendar, an IBAN by its remainder.  Its value is
+by its form and number of digits, an IP address by its octets, a date by the calendar, an IBAN by its remainder.  Its value is
 permuted within the values of its format by a keyed Feistel network with cycle walking, so equal values
 get equal pseudonyms in every document, different values different ones, and no table of pairs is kept.
 Mail names and secret tokens are permuted as strings over their alphabets in the same way.
@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: For tests and examples; production passes its own secret.
+#: For tests and examples; production passes its own secret, or sets it for the session.
 DEMO_KEY = b"replace this key"
+#: Setting of the session that holds the secret key, in hexadecimal digits.
+KEY_SETTING = "spark.sigplane.pii.key"
 ROUNDS = 8
 KINDS = ("secret", "email", "iban", "card", "phone", "ssn", "ip", "date")
 
@@ -31,7 +33,7 @@ _FIND = re.compile(
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b)"
     r"|(?P<date>(?<![\d.,/-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|[.,]\d))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])|(?<![\w.,-])0[1-9]\d{1,3}[ -]\d{3,4}[ -]?\d{3,4}(?![\w-]|[.,]\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.,-])\d(?:[ -]?\d){12,18}(?![\w-]|[.,]\d))",
     re.I,
@@ -118,7 +120,7 @@ def phone(found: str, key: bytes) -> str | None:
     m = re.match(r"\+\d{1,3}(?=[ .(-])|\+1(?=\d{10}$)|\+\d\d", found) if found[0] == "+" else None
     head, rest = (m[0], found[m.end() :]) if m else ("", found)
     digits = re.sub(r"\D", "", rest)
-    if not 7 <= len(digits) <= 12:
+    if not 7 <= len(digits) <= 12 or len(set(digits)) == 1 or not head and found[0] == "0" and len(digits) < 10:
         return None
     n = len(digits)
     return head + _fill(rest, f"{_other(key, 10**n, 'phone' + (head or '+1'), int(digits)):0{n}d}")
@@ -194,28 +196,36 @@ def iban(found: str, key: bytes) -> str | None:
 _ALPHABETS = (("0123456789", "num"), ("0123456789abcdef", "hex"), ("0123456789ABCDEF", "HEX"), ("abcdefghijklmnopqrstuvwxyz", "low"), ("0123456789abcdefghijklmnopqrstuvwxyz", "36"), ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "62"))
 
 
+def _alphabet(kept: str) -> tuple[str, str]:
+    """The smallest alphabet that has all letters, and its name."""
+    return next((a, n) for a, n in _ALPHABETS if set(kept) <= set(a))
+
+
 def _string(found: str, key: bytes, tweak: str) -> str:
-    """Letters and digits permuted within their smallest alphabet and number; all else stays."""
+    """Letters and digits permuted among strings of their smallest alphabet and number; all else stays."""
     kept = "".join(c for c in found if c.isascii() and c.isalnum())
     if not kept:
         return found
-    letters, name = next((a, n) for a, n in _ALPHABETS if set(kept) <= set(a))
+    letters, name = _alphabet(kept)
     base, x = len(letters), 0
     for c in kept:
         x = x * base + letters.index(c)
-    x = _other(key, base ** len(kept), f"{tweak}{name}", x)
-    out = []
-    for _ in kept:
-        x, d = divmod(x, base)
-        out.append(letters[d])
+    while True:  # a string that a smaller alphabet has is the pseudonym of another of that alphabet
+        x = y = _other(key, base ** len(kept), f"{tweak}{name}", x)
+        out = []
+        for _ in kept:
+            y, d = divmod(y, base)
+            out.append(letters[d])
+        if _alphabet("".join(out))[1] == name:
+            break
     it = reversed(out)
     return "".join(next(it) if c.isascii() and c.isalnum() else c for c in found)
 
 
 def email(found: str, key: bytes) -> str:
-    """The name changes, over small letters and digits; the domain stays."""
+    """The name changes, over small letters and digits; the domain stays.  Names with other letters become their bytes' digits behind a sign that no other name has."""
     name, domain = found.rsplit("@", 1)
-    plain = "".join(c if c.isascii() else "x" + format(ord(c), "x") for c in name.lower())
+    plain = name.lower() if name.isascii() else "=" + name.lower().encode().hex()
     return f"{_string(plain, key, 'mail')}@{domain}"
 
 
@@ -257,14 +267,21 @@ def pseudonymized(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]
     return "".join([*parts, text[at:]]) if spans else text, spans
 
 
-def protect(docs: DataFrame, *, key: bytes = DEMO_KEY, text_col: str = "text") -> DataFrame:
-    """``docs`` with pseudonyms in its text, and a column ``pii_spans`` of (begin, end, kind).
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session sets, else the one for examples."""
+    found = spark.conf.get(KEY_SETTING, None)
+    return bytes.fromhex(found) if found else DEMO_KEY
+
+
+def protect(docs: DataFrame, *, key: bytes | None = None, text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:
+    """``docs`` with pseudonyms in its text, and a column ``spans_col`` of (begin, end, kind).
 
-    A null text stays null and an empty one empty, both without spans.  Rows, ids and all other columns
-    stay as they are, in number too.  An empty table gives no rows.
+    Without a key the session's is taken.  A null text stays null and an empty one empty, both without spans.
+    Rows, ids and all other columns stay as they are, in number too; only a column named ``spans_col`` is
+    replaced.  An empty table gives no rows.
     """
-    if "pii_spans" in docs.columns:
-        docs = docs.drop("pii_spans")
+    key = key if key is not None else session_key(docs.sparkSession)
+    docs = docs.drop(spans_col)
     names = docs.columns
 
     spans_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
@@ -275,10 +292,10 @@ def protect(docs: DataFrame, *, key: bytes = DEMO_KEY, text_col: str = "text") -
             spans = [[{"begin": a, "end": b, "kind": k} for a, b, k in s] for _, s in done]
             at = batch.schema.get_field_index(text_col)
             changed = batch.set_column(at, batch.schema.field(at), pa.array([t for t, _ in done], batch.schema.field(at).type))
-            yield changed.append_column("pii_spans", pa.array(spans, spans_type))
+            yield changed.append_column(spans_col, pa.array(spans, spans_type))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, pii_spans array<struct<begin: int, end: int, kind: string>>").select(*names, "pii_spans")
+    return docs.mapInArrow(run, f"{fields}, `{spans_col}` array<struct<begin: int, end: int, kind: string>>").select(*(f"`{c}`" for c in names), spans_col)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

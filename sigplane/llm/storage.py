@@ -1,8 +1,8 @@
 """Tables that an operator writes once and reads several times.
 
 They go to the shared folder that the cluster names in ``spark.checkpoint.dir``, so a lost executor
-costs a re-read of a file and never a recomputation or a missing block.  Only where the setting is
-absent (local tests) a folder of our own is used.
+costs a re-read of a file and never a recomputation or a missing block.  Only in local mode, where one
+machine runs all, a missing setting gives a folder of our own; on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='llm-checkpoint-')}"
         context.setCheckpointDir(found)
     return found.rstrip("/")

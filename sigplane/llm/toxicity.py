@@ -186,7 +186,7 @@ def _different(texts: list[str]) -> list[list[str]]:
     return out
 
 
-def _telling(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, float]:
+def _telling(toxic: list[list[str]], clean: list[list[str]], features: int = FEATURES) -> dict[str, float]:
     """Features with significantly more toxic documents than by chance, and their log odds."""
     def count(docs: list[list[str]]) -> Counter:
         c: Counter = Counter()
@@ -206,7 +206,7 @@ def _telling(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, float]
         odds = np.log((x + 0.5) / (n1 + 1)) - np.log((y + 0.5) / (n0 + 1))
         if likelihood >= least and odds >= 1.5:
             out[f] = float(odds)
-    top = sorted(out, key=lambda f: (-a[f], f))[:FEATURES]
+    top = sorted(out, key=lambda f: (-a[f], f))[:features]
     return {f: out[f] for f in top}
 
 
@@ -281,21 +281,23 @@ def _learn_curve(crf: Crf, texts: list[str], y: np.ndarray, weight: np.ndarray)
     crf.curve = tuple(c.tolist())
 
 
-def fit(toxic: list[str], clean: list[str], clean_weight: float = 1.0) -> Crf:
+def fit(toxic: list[str], clean: list[str], clean_weight: float = 1.0, *, features: int = FEATURES, windows: int = WINDOWS) -> Crf:
     """Learn from whole texts of both kinds; without either kind nothing is found toxic.
 
     ``clean_weight``: how many documents each clean one of the sample stands for, relative to a toxic one.
+    The ``features`` most frequent telling ones are kept; of each kind the first documents with ``windows``
+    windows in all teach the chain, and all documents the features and the curve of the score.
     """
     crf = Crf()
     if not toxic or not clean:
         return crf
     different = _different(toxic), _different(clean)
-    telling = _telling(*different)
+    telling = _telling(*different, features)
     if not telling:
         return crf
     names = sorted(telling)
     index = {f: i for i, f in enumerate(names)}
-    windows = []
+    taught = []
     for label, docs in zip((1, 0), different, strict=True):
         kept = 0
         for words in docs:
@@ -303,30 +305,33 @@ def fit(toxic: list[str], clean: list[str], clean_weight: float = 1.0) -> Crf:
                 tokens = [[index[f] for f in token_features(w) if f in index] for w in words[low : low + WINDOW]]
                 labels = [int(label == 1 and any(telling[names[f]] >= 3.0 for f in fs)) for fs in tokens]
                 if any(tokens) or (low // WINDOW) % 8 == 0:
-                    windows.append((tokens, labels))
+                    taught.append((tokens, labels))
                     kept += 1
-            if kept >= WINDOWS:
+            if kept >= windows:
                 break
-    _learn_chain(crf, windows, names)
+    _learn_chain(crf, taught, names)
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
     _learn_curve(crf, toxic + clean, y, np.where(y > 0, 1.0, clean_weight))
     return crf
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Crf:
-    """Learn from ``labels`` (doc_id, toxic) that join ``docs``; null labels are left out."""
+def train(docs: DataFrame, labels: DataFrame, *, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, features: int = FEATURES, windows: int = WINDOWS) -> Crf:
+    """Learn from ``labels`` (doc_id, toxic) that join ``docs``; null labels are left out.
+
+    The bounds are of documents of each kind in the sample, of features, and of windows that teach the chain.
+    """
     rows = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     some = None
-    for value, bound in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
+    for value, bound in ((1, sample_toxic), (0, sample_clean)):
         part = rows.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         some = part if some is None else some.unionAll(part)
     # The samples' bounds make them fit to send to every executor.
     got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where(F.length("text") > 0).toPandas()
     got = got.sort_values(["doc_id", "text"])
     toxic, clean = (got.loc[got["toxic"] == v, "text"].tolist() for v in (1, 0))
-    scale = (counts.get(0, 0) / max(min(counts.get(0, 0), SAMPLE_CLEAN), 1)) / max(counts.get(1, 0) / max(min(counts.get(1, 0), SAMPLE_TOXIC), 1), 1e-9)
-    return fit(toxic, clean, scale if toxic else 1.0)
+    scale = (counts.get(0, 0) / max(min(counts.get(0, 0), sample_clean), 1)) / max(counts.get(1, 0) / max(min(counts.get(1, 0), sample_toxic), 1), 1e-9)
+    return fit(toxic, clean, scale if toxic else 1.0, features=features, windows=windows)
 
 
 def held_out():
@@ -352,14 +357,14 @@ def score(docs: DataFrame, crf: Crf) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double, spans array<struct<begin: int, end: int, chance: double>>")
 
 
-def detect(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5) -> DataFrame:
+def detect(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **bounds: int) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans) of each row of ``docs``.
 
     Labels of held-out ids are never learned from.  Without labels of both kinds every score is that of
     a text without a finding, as is that of a null or empty text.  Repeated rows are scored each, a null
-    id isn't held out, an empty table gives no rows, extra columns are ignored.
+    id isn't held out, an empty table gives no rows, extra columns are ignored.  ``bounds`` are those of :func:`train`.
     """
-    crf = train(docs, labels.where(~held_out()))
+    crf = train(docs, labels.where(~held_out()), **bounds)
     return score(docs, crf).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "spans")
 
 

@@ -116,6 +116,13 @@ def _distance(a, b):
     return row[-1]
 
 
+def test_line_dedup_keeps_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", "x", 7), (2, "a b c d e", "y", 8), (None, "a b c d e", "z", 9)], "doc_id long, text string, gone_lines string, n_lines long")
+    rows = {r["doc_id"]: r.asDict() for r in lines.dedup_lines(docs, counts=False).collect()}
+    assert {i: (r["text"], r["gone_lines"], r["n_lines"]) for i, r in rows.items()} == {None: ("a b c d e", "z", 9), 1: ("", "x", 7), 2: ("", "y", 8)}
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(docs.withColumnRenamed("gone_lines", "gone_id")).collect()} == {None: (1, 0), 1: (1, 1), 2: (1, 1)}
+
+
 def test_line_dedup_bound_grows_with_the_line(spark):
     r = random.Random(6)
     made = []
@@ -229,6 +236,16 @@ def test_bpe_equals_the_library():
     assert [decode(ids).decode() for ids in got] == texts
 
 
+def test_html_of_broken_and_awkward_pages(spark):
+    assert html.text_of('<p>Hello there <a href="x>link</a> more words of this paragraph</p>') == "Hello there link more words of this paragraph"
+    pages = [(1, "u", None), (2, None, ""), (3, "u", "<p>One two three."), (3, "u", "<p>One two three."), (None, "v", "<p>No id &lt;here&gt;"), (4, "w", "no markup at all"), (5, "w", "<a href='y>never closed")]
+    df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, text string")
+    got = sorted(((r["page_id"], r["url"], r["text"]) for r in html.extract(df).collect()), key=str)
+    want = [(1, "u", ""), (2, None, ""), (3, "u", "One two three."), (3, "u", "One two three."), (None, "v", "No id <here>"), (4, "w", "no markup at all"), (5, "w", "never closed")]
+    assert got == sorted(want, key=str)
+    assert html.extract(df.where("false")).count() == 0
+
+
 def test_html():
     page = "<html><body><nav><a href=x>Menu</a></nav><header>Site</header><article><h1>Title &amp; more</h1><p>Some  long\ntext about things.<p>Second paragraph, <b>bold</b>.<div class='comments'>a reader</div></article><footer>end</footer>"
     assert html.text_of(page) == "Title & more Some long text about things. Second paragraph, bold."
@@ -267,6 +284,29 @@ def test_valid_values_inside_longer_matches(text, found):
     assert kind == "phone" or end == at + len(found) and len(spans) == 1
 
 
+def test_pseudonyms_of_strings_differ():
+    names = ["josé@x.com", "josxe9@x.com", "jos%c3%a9@x.com", "1a2b@x.com", "1234@x.com", "abcd@x.com", "9999@x.com", "ab1d@x.com"]
+    assert len({pii.email(n, b"k") for n in names}) == len(names)
+    three = [f"{x:03x}" for x in range(16**3)]
+    assert len({pii._string(x, b"k", "t") for x in three}) == len(three)
+
+
+@pytest.mark.parametrize(("text", "kept"), [("000-000-0000", True), ("020 7946 0958", False), ("(212) 555-0123", False), ("item 5 4111 1111 1111 1111", False), ("order 12 4111111111111111", False), ("01 02 03", True)])
+def test_numbers_by_their_form(text, kept):
+    assert (pii.pseudonymized(text, b"k")[0] == text) is kept
+
+
+def test_the_session_sets_the_key(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@x.com", "own")], "doc_id long, text string, pii_spans string")
+    spark.conf.set(pii.KEY_SETTING, "00ff")
+    try:
+        row = pii.protect(docs, spans_col="found").first()
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert row["text"] == pii.pseudonymized("mail a.b@x.com", b"\x00\xff")[0] != pii.protect(docs).first()["text"]
+    assert row["pii_spans"] == "own" and len(row["found"]) == 1
+
+
 def test_invalid_values_stay():
     text = "4111 1111 1111 1112, ES9121000418450200051333 is, AT611904300234573202 and, 000-12-3456, 300.1.2.3"
     assert pii.pseudonymized(text, b"k") == (text, [])
