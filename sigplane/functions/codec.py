@@ -7,6 +7,8 @@ holds the remaining bits.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,9 +92,6 @@ def value_bound(fl: Column, k: int, precision: int) -> Column:
 
 def fractional_bits(v: Column) -> Column:
     """Bits after the binary point that a double needs, from the bits of the double itself."""
-    import pandas as pd
-    import numpy as np
-
     @F.pandas_udf("long")
     def exact(x: pd.Series) -> pd.Series:
         bits = x.to_numpy(np.float64).view(np.uint64)

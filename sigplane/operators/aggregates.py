@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sigplane.functions import codec
-from sigplane.operators.predicate import ALL_Q, MIXED, Q, segment_modes, states
+from sigplane.operators.predicate import ALL_Q, Q, segment_modes, states, threshold
 from sigplane.plans.layout import Planes
 
 
@@ -60,11 +60,12 @@ def moments(p: Planes, k: int) -> DataFrame:
 def errors(p: Planes) -> DataFrame:
     """(k, exact, approx, abs_error, rel_error) of the sum for each k, in one scan."""
     df = p.first(p.planes)
-    sums = [exact(F.col("base") + F.col("lo")).alias("full")]
+    sums = []
     for k in range(1, p.planes + 1):
         om = codec.omitted(F.col("fl"), k)
         sums.append(exact(F.col("base") + F.call_function("shiftleft", F.call_function("shiftright", F.col("lo"), om), om)).alias(f"s{k}"))
-    wide, scale = df.agg(*sums), F.lit(2.0**p.f)
+    # The exact sum is that of the codes, kept with the segments, whatever planes are there.
+    wide, scale = df.agg(*sums).crossJoin(p.meta.agg(F.sum("code_sum").alias("full"))), F.lit(2.0**p.f)  # one row each
     each = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), (F.col("full").cast("double") / scale).alias("exact"), (F.col(f"s{k}").cast("double") / scale).alias("approx")) for k in range(1, p.planes + 1))))
     gap = F.abs(F.col("exact") - F.col("approx"))
     return wide.select(each.alias("x")).select("x.*").select("k", "exact", "approx", gap.alias("abs_error"), (gap / F.greatest(F.abs("exact"), F.lit(1e-30))).alias("rel_error"))
@@ -89,8 +90,8 @@ def filter_sum(p: Planes, t: float, k: int) -> DataFrame:
     """
     modes = segment_modes(p, t)
     known = modes.where(F.col("mode") == ALL_Q).agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("n1"), F.coalesce(F.sum("code_sum"), F.lit(0)).alias("c1"))
-    mixed = modes.where(F.col("mode") == MIXED).select(F.col("seg").alias("s"), "t_code")
-    df = p.first(k).join(mixed, F.col("seg") == F.col("s"))
+    # Plain conditions on the segment's numbers, so that they reach the scan.
+    df = p.first(k).where((F.col("vmin") <= float(t)) & (F.col("vmax") > float(t))).withColumn("t_code", threshold(p, t))
     q, maybe = F.col("lo") > F.col("t_code"), F.col("hi") > F.col("t_code")
     low, high = F.col("base") + F.col("lo"), F.col("base") + F.col("hi")
     scan = df.agg(F.count_if(q).alias("n2"), F.count_if(maybe & ~q).alias("u"), F.coalesce(exact(F.when(q, low)), F.lit(0)).alias("c2"), F.coalesce(exact(F.when(maybe, high)), F.lit(0)).alias("h2"))
@@ -114,5 +115,6 @@ def plane_statistics(p: Planes) -> DataFrame:
 
 
 def plane_histogram(p: Planes) -> DataFrame:
-    return p.meta.groupBy("active").agg(F.count("*").alias("segments"))
+    """(active, segments, first_segment) by number of planes; more than eight would be told by its first segment."""
+    return p.meta.groupBy("active").agg(F.count("*").alias("segments"), F.min("seg").alias("first_segment"))
 

@@ -197,8 +197,8 @@ def outcome(detected: Column, correct: Column, contains: Column) -> Column:
 
 
 def plane_outcome(replicas: Column, damaged: Column, differs: Column, voted_right: Column) -> Column:
-    """EC exact, MR majority repaired, DU detected, SW silently wrong."""
-    return F.when(~damaged, "EC").when(replicas == 1, "SW").when(replicas == 2, F.when(differs, "DU").otherwise("SW")).when(voted_right, "MR").when(differs, "DU").otherwise("SW")
+    """EC exact, MR majority repaired, DU detected, SW silently wrong; a wrong value voted for is delivered, so it is silent."""
+    return F.when(~damaged, "EC").when(replicas == 1, "SW").when(replicas == 2, F.when(differs, "DU").otherwise("SW")).when(voted_right, "MR").otherwise("SW")
 
 
 def combined_outcome(outcome: Column) -> Column:
@@ -216,45 +216,57 @@ SEVERITIES: dict[str, list[dict]] = {
 }
 
 
+#: Bursts, runs and regions of a plan at most.
+MOST_BURSTS = 100
+
+
 def fault_plan(family: str, rate: float, seed: int, rows: int, replicas: list[int], segment: int = UNIT, severity: dict | None = None) -> list[tuple[int, int, int, int]]:
-    """(plane, replica, row_id, mask) events of a family, seeded; their number follows the rate."""
-    how = severity or {}
+    """(plane, replica, row_id, mask) events of a family, seeded; their number follows rate times rows.
+
+    Events hit the first copy; those of twins hit the named copies that there are, with one mask.
+    """
+    how, r = severity or {}, random.Random(f"{family}:{seed}")
     if family == "mixed":
         share = how.get("f1_ratio", 0.5)
         return fault_plan("independent", rate * share, seed, rows, replicas, segment) + fault_plan("twin", rate * (1 - share), seed + 1, rows, replicas, segment, how)
-    r = random.Random(f"{family}:{seed}")
-    wanted = max(1, round(rate * rows * PLANES))
-    out: list[tuple[int, int, int, int]] = []
-    mask = lambda: 1 << r.randrange(8)
-    while len(out) < wanted:
-        p, at = r.randrange(PLANES), r.randrange(rows)
-        copy = r.randrange(replicas[p])
-        if family == "independent":
-            out.append((p, copy, at, mask()))
-        elif family == "short_burst":
-            out += [(p, copy, x, mask()) for x in range(at, min(rows, at + r.randint(how.get("burst_min", 2), how.get("burst_max", 8))))]
-        elif family == "long_run":
-            out += [(p, copy, x, 255) for x in range(at, min(rows, at + how.get("run_length", 64)))]
-        elif family == "column_offset":
-            places = range(at % segment, rows, segment)
-            share = how.get("affected_row_fraction", 1.0)
-            out += [(p, copy, x, mask()) for x in (places if share >= 1 else sorted(r.sample(places, max(1, round(share * len(places))))))]
-        elif family == "dense_region":
-            region = how.get("region_size", segment)
-            low = at // region * region
-            out += [(p, copy, x, mask()) for x in range(low, min(rows, low + region)) if r.random() < how.get("density", 0.05)]
-        elif family == "region_burst" and "burst_events" in how:
-            low = at // how["region_size"] * how["region_size"]
-            places = [(q := r.randrange(PLANES), r.randrange(replicas[q]), r.randrange(low, min(rows, low + how["region_size"]))) for _ in range(how["burst_events"])]
-            out += [(*x, mask()) for x in places]
-        elif family == "region_burst":
-            out += [(q, r.randrange(replicas[q]), x, mask()) for q in range(PLANES) for x in range(at, min(rows, at + 4))]
-        elif family == "twin":
-            m = mask()
-            out += [(p, c, at, m) for c in how.get("target_replicas", [0, 1]) if c < replicas[p]]
-        else:
-            raise ValueError(f"unknown family {family}")
-    return out
+    wanted = max(1, int(rows * rate)) if rate > 0 else 0
+    bursts = min(wanted, MOST_BURSTS)
+
+    def mask() -> int:
+        return r.randint(1, 255)
+
+    def run(length: int) -> list[tuple[int, int, int, int]]:
+        p, low = r.randrange(PLANES), r.randint(0, max(0, rows - length))
+        return [(p, 0, low + i, mask()) for i in range(min(length, rows))]
+
+    if family == "independent":
+        return [(r.randrange(PLANES), 0, r.randrange(rows), mask()) for _ in range(wanted)]
+    if family == "short_burst":
+        length = r.randint(how.get("burst_min", 2), how.get("burst_max", 4))
+        return [e for _ in range(bursts) for e in run(length)]
+    if family == "long_run":
+        return [e for _ in range(bursts) for e in run(how.get("run_length", 64))]
+    if family == "column_offset":
+        segments = -(-rows // segment)
+        p, m, at = r.randrange(PLANES), mask(), r.randint(0, 255)
+        hit = r.sample(range(segments), max(1, int(segments * how.get("affected_row_fraction", 0.1))))
+        return [(p, 0, x * segment + at, m) for x in hit if x * segment + at < rows]
+    if family == "dense_region":
+        size = min(how.get("region_size", segment), rows)
+        n = max(1, int(size * how.get("density", min(0.1, rate * 1000))))
+        out = []
+        for _ in range(min(how.get("n_regions", bursts), MOST_BURSTS)):
+            p, low = r.randrange(PLANES), r.randint(0, rows - size)
+            out += [(p, 0, x, mask()) for x in r.sample(range(low, low + size), min(n, size))]
+        return out
+    if family == "region_burst":
+        size = min(how.get("region_size", 1024), rows)
+        p, low = r.randrange(PLANES), r.randint(0, rows - size)
+        return [(p, 0, low + r.randrange(size), mask()) for _ in range(how.get("burst_events", max(1, int(rate * 1e6))))]
+    if family == "twin":
+        hits = [(r.randrange(PLANES), r.randrange(rows), mask()) for _ in range(wanted)]
+        return [(p, c, at, m) for p, at, m in hits for c in how.get("target_replicas", [0, 1]) if c < replicas[p]]
+    raise ValueError(f"unknown family {family}")
 
 
 def plan_frame(spark: SparkSession, plan: list[tuple[int, int, int, int]]) -> DataFrame:
@@ -277,12 +289,14 @@ def exposure(plan: DataFrame, segment: int = UNIT) -> DataFrame:
     return a.crossJoin(b)  # one row each
 
 
+# 0.975 quantiles of Student's t for 1 to 30 degrees of freedom.
+T_QUANTILES = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045229642132703, 2.042]
+
+
 def ci95(x: str) -> list[Column]:
     """Mean and half width with the t quantile of n - 1 degrees; zeros for fewer than two values."""
-    # 0.975 quantiles of Student's t for 1 to 30 degrees of freedom.
-    t = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045229642132703, 2.042]
     n = F.count(x)
-    at = F.element_at(F.array(*map(F.lit, t)), F.greatest(F.least(n - 1, F.lit(30)), F.lit(1)).cast("int"))
+    at = F.element_at(F.array(*map(F.lit, T_QUANTILES)), F.greatest(F.least(n - 1, F.lit(30)), F.lit(1)).cast("int"))
     return [F.avg(x).alias("mean"), F.when(n < 2, 0.0).otherwise(at * F.stddev_samp(x) / F.sqrt(n)).alias("half_width")]
 
 
@@ -292,12 +306,29 @@ def indexed_quantile(x: str, q: float) -> Column:
     return F.element_at(values, F.least(F.floor(F.size(values) * F.lit(q)) + 1, F.size(values)).cast("int"))
 
 
-def allocation(units: DataFrame, budget_units: int, graded: bool = True) -> DataFrame:
-    """``units`` (plane, unit) that get extra replicas: the first of the order, 2 copies' cost each if graded."""
-    cost = 2 if graded else 1
-    order = ("plane", "unit") if graded else ("unit", "plane")
-    picked = units.orderBy(*order).limit(budget_units // cost)
-    return picked.withColumn("replicas", F.lit(1 + cost).cast("long"))
+ALLOCATIONS = ("graded", "uniform_detect", "uniform_repair")
+
+
+def allocation(units: DataFrame, kind: str, budget: int, planes: int, plane_bytes: int, unit: int = UNIT) -> DataFrame:
+    """``units`` (plane, unit) with ``replicas`` by a budget of so many whole planes.
+
+    "graded" fills plane 0 to three copies, then plane 1, a copy of the whole plane at a time.  The uniform kinds
+    give the first units in the order (unit, plane) a second copy, or two more, as far as the budget goes.
+    """
+    if kind == "graded":
+        extra = F.when(F.col("plane") < 2, F.greatest(F.least(F.lit(budget) - 2 * F.col("plane"), F.lit(2)), F.lit(0))).otherwise(0)
+        return units.withColumn("replicas", (1 + extra).cast("long"))
+    copies = {"uniform_detect": 1, "uniform_repair": 2}[kind]
+    # A unit's place in the order follows from its numbers, so nothing is sorted.
+    chosen = F.col("unit") * planes + F.col("plane") < budget * plane_bytes // (copies * unit)
+    return units.withColumn("replicas", F.when(chosen, F.lit(1 + copies)).otherwise(1).cast("long"))
+
+
+def coverage(allocated: DataFrame, plane_bytes: int, unit: int = UNIT) -> DataFrame:
+    """Bytes by what their copies allow: repair of three, detection of two, fallback only; and the extra bytes."""
+    size = F.least(F.lit(unit), F.lit(plane_bytes) - F.col("unit") * unit)
+    of = lambda n: F.coalesce(F.sum(F.when(F.col("replicas") == n, size)), F.lit(0)).cast("long")
+    return allocated.agg(of(3).alias("repair_bytes"), of(2).alias("detect_bytes"), of(1).alias("fallback_bytes"), F.sum((F.col("replicas") - 1) * size).cast("long").alias("extra_bytes"))
 
 
 def grid(rates: list[float], seeds: list[int]) -> list[tuple[str, str, int, float, int]]:
@@ -325,13 +356,39 @@ def campaign(spark: SparkSession, planes: DataFrame, rows: int, cells: list[tupl
     hit = masks.where("mask <> 0").select("cell", "plane", "row_id").distinct().join(planes, ["plane", "row_id"])
     copies = hit.join(copy_rows, ["cell", "plane"]).join(masks, ["cell", "plane", "replica", "row_id"], "left")
     copies = copies.withColumn("now", F.col("byte").bitwiseXOR(F.coalesce("mask", F.lit(0).cast("long"))))
-    seen = copies.groupBy("cell", "plane", "row_id", "byte", "now").agg(F.count("*").alias("n"))
-    top = seen.groupBy("cell", "plane", "row_id", "byte").agg(F.sum("n").alias("r"), F.max("n").alias("most"), F.count("*").alias("kinds"), F.max_by("now", F.struct("n", -F.col("now"))).alias("voted"))
-    given = F.when(F.col("most") * 2 > F.col("r"), F.col("voted")).otherwise(F.col("byte"))
+    seen = copies.groupBy("cell", "plane", "row_id", "byte", "now").agg(F.count("*").alias("n"), F.min("replica").alias("first"))
+    top = seen.groupBy("cell", "plane", "row_id", "byte").agg(F.sum("n").alias("r"), F.max("n").alias("most"), F.count("*").alias("kinds"), F.max_by("now", F.struct("n", -F.col("now"))).alias("voted"), F.min_by("now", "first").alias("original"))
+    # Two copies are compared, not voted on; of three or more without a majority the smallest of the most frequent is given.
+    given = F.when(F.col("r") == 2, F.col("original")).otherwise(F.col("voted"))
     per_plane = top.groupBy("cell", "plane").agg(
-        F.sum((given - F.col("byte")).cast("decimal(38,0)") * weight(F.col("plane"))).alias("damage"), F.bool_or(F.col("kinds") > 1).alias("detected"),
-        F.bool_and((F.col("most") * 2 > F.col("r")) & (F.col("voted") == F.col("byte"))).alias("right"), F.max("r").alias("r"),
+        F.sum((given - F.col("byte")).cast("decimal(38,0)") * weight(F.col("plane"))).alias("damage"), F.bool_or(F.col("kinds") > 1).alias("detected"), (F.sum(given - F.col("byte")) % F.lit(1 << 32) != 0).alias("digest_differs"),
+        F.bool_and(given == F.col("byte")).alias("right"), F.max("r").alias("r"),
     )
     kind = plane_outcome(F.col("r"), F.lit(True), F.col("detected"), F.col("right"))
-    per_cell = per_plane.groupBy("cell").agg(F.sum("damage").cast("decimal(38,0)").alias("damage"), F.sum(F.when(F.col("detected") & ~F.col("right"), F.lit(255 * rows) * weight(F.col("plane"))).otherwise(0)).cast("decimal(38,0)").alias("bound"), combined_outcome(kind).alias("outcome"))
-    return names.join(per_cell, "cell", "left").withColumn("outcome", F.coalesce("outcome", F.lit("EC"))).withColumn("contains_truth", F.abs(F.coalesce("damage", F.lit(0))) <= F.coalesce("bound", F.lit(0)))
+    # A reader without copies compares digests of the planes and widens the answer by those that differ.
+    width = F.sum(F.when(F.col("digest_differs"), F.lit(255 * rows) * weight(F.col("plane"))).otherwise(0)).cast("decimal(38,0)")
+    per_cell = per_plane.groupBy("cell").agg(F.sum("damage").cast("decimal(38,0)").alias("damage"), width.alias("bound"), F.bool_or("digest_differs").alias("detected"), F.sort_array(F.collect_set("plane")).alias("faulted_planes"), combined_outcome(kind).alias("outcome"))
+    clean = planes.agg(F.sum((F.col("byte") * weight(F.col("plane"))).cast("decimal(38,0)")).alias("clean_answer"))
+    none, off = F.lit(0).cast("decimal(38,0)"), F.lit(False)
+    cells = names.join(per_cell, "cell", "left").crossJoin(F.broadcast(clean))  # one row: the clean sum
+    cells = cells.withColumns({"damage": F.coalesce("damage", none), "bound": F.coalesce("bound", none), "detected": F.coalesce("detected", off), "outcome": F.coalesce("outcome", F.lit("EC")), "faulted_planes": F.coalesce("faulted_planes", F.array().cast("array<bigint>"))})
+    error = F.abs(F.col("damage"))
+    cells = cells.withColumns({
+        "delivered_answer": F.col("clean_answer") + F.col("damage"), "abs_error": error, "relative_error": error.cast("double") / F.greatest(F.abs("clean_answer").cast("double"), F.lit(1.0)),
+        "contains_truth": error <= F.col("bound"), "decision_flip": error.cast("double") > 0.05 * F.abs("clean_answer").cast("double"),
+    })
+    vectors = spark.createDataFrame([(n, rs, sum(rs) - PLANES) for n, rs in replicas.items()], "policy string, r_vector array<long>, extra_copies long")
+    return cells.withColumn("bounded_outcome", outcome(F.col("detected"), F.col("damage") == 0, F.col("contains_truth"))).join(F.broadcast(vectors), "policy")
+
+
+def cell_metrics(cells: DataFrame, *by: str) -> DataFrame:
+    """Rates and quantiles of campaign cells for each group; quantiles take the element of place int(n q)."""
+    is_ = lambda *names: F.avg(F.col("outcome").isin(*names).cast("int"))
+    bounded = lambda *names: F.avg(F.col("bounded_outcome").isin(*names).cast("int"))
+    return cells.groupBy(*by).agg(
+        F.count("*").alias("cells"), is_("EC").alias("exact_rate"), is_("MR").alias("recovered_rate"), is_("DU").alias("unavailable_rate"), is_("SW").alias("silent_wrong_rate"),
+        is_("EC", "MR").alias("correct_answer_rate"), (1 - is_("SW")).alias("safe_answer_rate"), bounded("exact_correct", "certified_degraded").alias("accepted_answer_rate"),
+        F.avg((F.col("relative_error") > 1).cast("int")).alias("catastrophic_rate"), F.avg(F.col("decision_flip").cast("int")).alias("decision_flip_rate"), F.avg(F.col("contains_truth").cast("int")).alias("contains_truth_rate"),
+        F.avg("relative_error").alias("mean_relative_error"), *(indexed_quantile("relative_error", q).alias(f"relative_error_p{n}") for q, n in ((0.5, 50), (0.99, 99), (0.999, 999))), F.max("relative_error").alias("max_relative_error"),
+        indexed_quantile("bound", 0.5).alias("bound_median"), F.avg("extra_copies").alias("extra_copies"),
+    )

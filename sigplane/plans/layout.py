@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 from sigplane.functions import codec
 
 SEGMENT = 4096
+#: Bytes of a row group: small ones let conditions on a segment's numbers leave out more.
+ROW_GROUP = 16 << 20
+#: What a row carries of its segment.
+SEGMENT_NUMBERS = ("base", "fl", "vmin", "vmax")
 
 
 @dataclass
 class Planes:
-    """``rows``: row_id, seg, v, b0..; ``meta``: one row a segment; both with the same precision."""
+    """``rows``: row_id, seg, v, the segment's base, fl, vmin and vmax, b0..; ``meta``: one row a segment.
+
+    The segment's numbers lie beside its rows, where run-length encoding makes them nearly free: a scan needs no
+    join, and conditions on them reach the file's row groups.
+    """
 
     rows: DataFrame
     meta: DataFrame
@@ -28,8 +36,7 @@ class Planes:
 
     def with_meta(self, *columns: str) -> DataFrame:
         """Rows with their segment's numbers; only the columns asked for reach the scan."""
-        rows = self.rows.select(*dict.fromkeys(["row_id", "seg", *columns])) if columns else self.rows
-        return rows.join(self.meta.select("seg", "base", "fl", "vmin", "vmax", "code_sum"), "seg")
+        return self.rows.select(*dict.fromkeys(["row_id", "seg", *SEGMENT_NUMBERS, *columns]))
 
     def first(self, k: int, *more: str) -> DataFrame:
         """Rows decoded from their first k planes: lo and hi bound the difference to the base."""
@@ -39,11 +46,13 @@ class Planes:
         return df.withColumn("lo", lo).withColumn("hi", F.col("lo") + codec.tail(F.col("fl"), k))
 
 
-def validate_input(raw: DataFrame) -> None:
-    """Raise if a value is null, negative or not finite, or a row id occurs twice."""
-    bad = raw.agg(F.count_if(F.col("v").isNull() | F.isnan("v") | (F.col("v") < 0) | (F.col("v") == float("inf"))).alias("bad")).first()["bad"]
-    if bad:
-        raise ValueError(f"{bad} values are null, negative or not finite")
+def validate_input(raw: DataFrame) -> float:
+    """The largest value; raises if one is null, negative or not finite."""
+    v = F.col("v")
+    found = raw.agg(F.count_if(v.isNull() | F.isnan(v) | (v < 0) | (v == float("inf"))).alias("bad"), F.max("v").alias("largest")).first()
+    if found["bad"]:
+        raise ValueError(f"{found['bad']} values are null, negative or not finite")
+    return found["largest"] or 0.0
 
 
 def codes(raw: DataFrame, precision: int, segment: int) -> DataFrame:
@@ -65,19 +74,21 @@ def segment_meta(coded: DataFrame, precision: int) -> DataFrame:
 def encode(raw: DataFrame, *, precision: int | None = 4, segment: int = SEGMENT, planes: int | None = None) -> Planes:
     """Planes of (row_id, v).  ``precision`` None takes the finest that fits the largest value.
 
-    ``planes`` None finds the number of planes with one pass over the data.
+    ``planes`` None finds the number of planes with one pass over the data; fewer than a segment needs are an
+    error.  Values are checked in the same way: they must be finite and not negative, and fit the precision.
     """
-    if precision is None:
-        precision = codec.choose_precision(raw.agg(F.max("v")).first()[0] or 0.0)
+    largest = validate_input(raw)
+    precision = codec.resolve_precision(precision, largest)
     coded = codes(raw, precision, segment)
     meta = segment_meta(coded, precision)
-    if planes is None:
-        planes = int(meta.agg(F.max("active")).first()[0] or 0)
-    if planes > codec.MAX_PLANES:
-        raise ValueError(f"{planes} planes")
-    joined = coded.join(meta.select("seg", "base", "fl"), "seg")
+    if planes is None or planes < codec.MAX_PLANES:
+        needed = int(meta.agg(F.max("active")).first()[0] or 0)
+        if needed > (codec.MAX_PLANES if planes is None else planes):
+            raise ValueError(f"{needed} planes are needed")
+        planes = needed if planes is None else planes
+    joined = coded.join(meta.select("seg", *SEGMENT_NUMBERS), "seg")
     d = F.col("code") - F.col("base")
-    rows = joined.select("row_id", "seg", "v", *(codec.plane(d, F.col("fl"), p).alias(f"b{p}") for p in range(planes)))
+    rows = joined.select("row_id", "seg", "v", *SEGMENT_NUMBERS, *(codec.plane(d, F.col("fl"), p).alias(f"b{p}") for p in range(planes)))
     return Planes(rows, meta, precision, segment, planes)
 
 
@@ -85,7 +96,7 @@ def write(p: Planes, path: str, name: str, source: str = "") -> None:
     """Rows ranged by segment, so that a segment's rows lie together and footers prune; segments; manifest."""
     spark = p.rows.sparkSession
     p.meta.write.mode("overwrite").parquet(f"{path}/segment_meta")
-    p.rows.repartitionByRange("seg").sortWithinPartitions("seg", "row_id").write.mode("overwrite").parquet(f"{path}/planes")
+    p.rows.repartitionByRange("seg").sortWithinPartitions("seg", "row_id").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/planes")
     m = spark.read.parquet(f"{path}/segment_meta")
     totals = m.agg(F.sum("row_count").alias("value_count"), F.count("*").alias("segment_count"), F.max("active").alias("max_plane_count"), F.min("active").alias("segment_plane_count_min"), F.max("active").alias("segment_plane_count_max"), (F.sum("code_sum") / F.lit(2.0**p.f)).cast("double").alias("exact_sum"))
     totals.select(F.lit("sigplane-1").alias("format"), F.lit(name).alias("dataset"), F.lit(source).alias("source_path"), F.lit(p.segment).cast("long").alias("segment_size"), F.lit(p.precision).alias("precision"), F.lit(p.planes).alias("planes"), "*").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
@@ -98,7 +109,7 @@ def read(spark: SparkSession, path: str) -> Planes:
 
 def contract(p: Planes) -> DataFrame:
     """(check, violations): the invariants of an artifact; all counts are 0 for a sound one."""
-    joined = p.rows.join(p.meta, "seg", "left")
+    joined = p.rows.drop(*SEGMENT_NUMBERS).join(p.meta, "seg", "left")
     decoded = codec.from_planes(F.col("fl"), p.planes)
     value = (F.col("base") + decoded) / F.lit(2.0**p.f)
     row_checks = {

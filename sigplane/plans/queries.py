@@ -17,7 +17,8 @@ from sigplane.sources import raw as raw_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PRECISION, SEGMENT, PLANES, THRESHOLD = 4, 256, 3, 100.0
+PRECISION, SEGMENT, PLANES, THRESHOLD = 4, 256, codec.MAX_PLANES, 100.0
+DEPTHS = range(1, PLANES + 1)
 SCALE = float(1 << codec.FRACTION_BITS[PRECISION])
 
 
@@ -119,7 +120,7 @@ def _register() -> None:
     requests = [(1, 50.0, 1), (2, 100.0, 2), (3, 200.0, 3)]
     part = " UNION ALL ".join(f"SELECT CAST({r} AS BIGINT) AS request, CAST({x} AS DOUBLE) AS threshold, CAST({k} AS BIGINT) AS k, q, d, u FROM (SELECT count(*) FILTER (lo > t) AS q, count(*) FILTER (hi <= t) AS d, count(*) FILTER (lo <= t AND hi > t) AS u FROM (SELECT CAST(floor({x} * {s}) AS BIGINT) - base AS t, (d >> CAST(om AS INTEGER)) << CAST(om AS INTEGER) AS lo, ((d >> CAST(om AS INTEGER)) << CAST(om AS INTEGER)) + (CAST(1 AS BIGINT) << CAST(om AS INTEGER)) - 1 AS hi FROM (SELECT *, greatest(fl - {8 * k}, 0) AS om FROM e)))" for r, x, k in requests)
     _add("batch_counts", lambda sp, sf: P.batch_counts(planes(sp, sf), requests), f"{_BASE} {part}")
-    rounds = "CASE " + " ".join(f"WHEN (d >> CAST(greatest(fl - {8 * k}, 0) AS INTEGER)) <> (t >> CAST(greatest(fl - {8 * k}, 0) AS INTEGER)) THEN {k}" for k in (1, 2, 3)) + " ELSE 4 END"
+    rounds = "CASE " + " ".join(f"WHEN (d >> CAST(greatest(fl - {8 * k}, 0) AS INTEGER)) <> (t >> CAST(greatest(fl - {8 * k}, 0) AS INTEGER)) THEN {k}" for k in DEPTHS) + f" ELSE {PLANES + 1} END"
     _add("survival_by_round", lambda sp, sf: P.survival(planes(sp, sf), t), f"{_cut(3)} SELECT CAST({rounds} AS BIGINT) AS round, count(*) FILTER (d > t) AS resolved_q, count(*) FILTER (d <= t) AS resolved_d FROM b GROUP BY 1")
     _add("refine_direct_k1", lambda sp, sf: P.refine_direct(planes(sp, sf), t, 1), f"{_cut(1)} SELECT count(*) FILTER (lo > t) AS q, count(*) FILTER (lo <= t AND hi > t) AS u, count(*) FILTER (lo <= t AND hi > t AND v > {t}) AS hits, count(*) FILTER (lo > t OR (hi > t AND v > {t})) AS refined_count FROM b")
     _add("refine_compact_k1", lambda sp, sf: P.refine_compact(planes(sp, sf), raw(sp, sf), t, 1), f"{_cut(1)}, y AS (SELECT v, {_X} > {t} AS q, {_X} <= {t} AND {_X} + {_bound(1)} > {t} AS u FROM b) SELECT count(*) FILTER (q) AS q, count(*) FILTER (u AND v > {t}) AS hits, count(*) FILTER (u) AS u, count(*) FILTER (v > {t}) AS refined_count FROM y")
@@ -131,16 +132,16 @@ def _register() -> None:
         _add(f"filter_sum_k{k}", lambda sp, sf, k=k: A.filter_sum(planes(sp, sf), t, k), f"{_cut(k)}, y AS (SELECT *, {_MODE} AS mode FROM b) SELECT count(*) FILTER (mode = 1 OR mode = 0 AND lo > t) AS count_q, count(*) FILTER (mode = 0 AND lo <= t AND hi > t) AS u, CAST(coalesce(sum(CASE WHEN mode = 1 THEN code WHEN mode = 0 AND lo > t THEN base + lo END), 0) AS BIGINT) AS sum_code, CAST(coalesce(sum(CASE WHEN mode = 1 THEN code WHEN mode = 0 AND hi > t THEN base + hi END), 0) AS BIGINT) AS sum_code_upper FROM y")
     for scope, by in (("segment", "OVER (PARTITION BY seg)"), ("global", "OVER ()")):
         _add(f"extremum_candidates_{scope}", lambda sp, sf, x=scope: A.extremum_candidates(planes(sp, sf), 1, x), f"{_cut(1)}, y AS (SELECT base + lo AS l, base + hi AS h, min(base + hi) {by} AS least, max(base + lo) {by} AS most FROM b) SELECT count(*) FILTER (l <= least) AS min_candidates, count(*) FILTER (h >= most) AS max_candidates FROM y")
-    _add("variance_k3", lambda sp, sf: A.moments(planes(sp, sf), 3).select("n", F.round("avg", 6).alias("avg"), F.round("var", 4).alias("var")), f"{_BASE} SELECT count(*) AS n, round(avg(code / {s}), 6) AS avg, round(var_pop(code / {s}), 4) AS var FROM enc")
+    _add("variance_full", lambda sp, sf: A.moments(planes(sp, sf), PLANES).select("n", F.round("avg", 6).alias("avg"), F.round("var", 4).alias("var")), f"{_BASE} SELECT count(*) AS n, round(avg(code / {s}), 6) AS avg, round(var_pop(code / {s}), 4) AS var FROM enc")
     _add("analytic_bounds_k2", lambda sp, sf: (b := A.analytic_bounds(planes(sp, sf), 2)).select(*(F.round(c, 6).alias(c) for c in b.columns)), f"{_BASE}, z AS (SELECT *, {_bound(2)} AS b, (base + (CAST(1 AS BIGINT) << CAST(fl AS INTEGER)) - 1) / {s} AS largest FROM m), y AS (SELECT sum(row_count * b) AS sb, sum(row_count) AS n, max(b) AS eb, sum(2 * row_count * largest * b) AS vs, sum(code_sum) / {s} AS total FROM z) SELECT round(sb, 6) AS sum_bound, round(sb / n, 6) AS avg_bound, round(eb, 6) AS extremum_bound, round(vs / n + (2 * total / n + sb / n) * (sb / n), 6) AS var_bound FROM y")
-    sums = f"y AS (SELECT CAST(sum(code) AS DOUBLE) / {s} AS exact, " + ", ".join(f"CAST(sum(base + ((d >> CAST(greatest(fl - {8 * k}, 0) AS INTEGER)) << CAST(greatest(fl - {8 * k}, 0) AS INTEGER))) AS DOUBLE) / {s} AS s{k}" for k in (1, 2, 3)) + " FROM e), r AS (" + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, exact, s{k} AS approx, abs(exact - s{k}) AS abs_error, abs(exact - s{k}) / greatest(abs(exact), 1e-30) AS rel_error FROM y" for k in (1, 2, 3)) + ")"
+    sums = f"y AS (SELECT CAST(sum(code) AS DOUBLE) / {s} AS exact, " + ", ".join(f"CAST(sum(base + ((d >> CAST(greatest(fl - {8 * k}, 0) AS INTEGER)) << CAST(greatest(fl - {8 * k}, 0) AS INTEGER))) AS DOUBLE) / {s} AS s{k}" for k in DEPTHS) + " FROM e), r AS (" + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, exact, s{k} AS approx, abs(exact - s{k}) AS abs_error, abs(exact - s{k}) / greatest(abs(exact), 1e-30) AS rel_error FROM y" for k in DEPTHS) + ")"
     _add("sum_errors", lambda sp, sf: A.errors(planes(sp, sf)), f"{_BASE}, {sums} SELECT * FROM r")
     for column, eps in (("rel_error", [0.1, 0.01, 1e-4, 1e-6]), ("abs_error", [10000.0, 100.0, 1.0])):
         grid = ", ".join(map(str, eps))
         _add(f"kstar_{column[:3]}", lambda sp, sf, c=column, e=eps: A.kstar(planes(sp, sf), e, c), f"{_BASE}, {sums} SELECT CAST(eps AS DOUBLE) AS eps, min(k) FILTER ({column} <= CAST(eps AS DOUBLE)) AS kstar FROM r, (SELECT unnest([{grid}]) AS eps) GROUP BY eps")
     _add("deferred_gather_k3", lambda sp, sf: A.deferred_gather(planes(sp, sf), raw(sp, sf), t, 3), f"{_cut(3)} SELECT count(*) AS n, round(CAST(sum(CAST(v AS DECIMAL(28,8))) AS DOUBLE), 4) AS raw_sum FROM b WHERE lo > t")
     _add("plane_statistics", lambda sp, sf: A.plane_statistics(planes(sp, sf)), f"{_BASE}, y AS (" + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS plane, {_byte(i)} AS byte FROM e" for i in range(PLANES)) + "), c AS (SELECT plane, byte, count(*) AS c FROM y WHERE byte IS NOT NULL GROUP BY 1, 2), n AS (SELECT *, sum(c) OVER (PARTITION BY plane) AS n FROM c) SELECT plane, CAST(sum(c) AS BIGINT) AS n, count(*) AS distinct_bytes, CAST(coalesce(sum(c) FILTER (byte = 0), 0) AS BIGINT) AS zeros, min(byte) AS least, max(byte) AS most, round(sum(-(c / n) * log2(c / n)), 6) AS entropy FROM n GROUP BY plane")
-    _add("plane_histogram", lambda sp, sf: A.plane_histogram(planes(sp, sf)), f"{_BASE} SELECT CAST(ceil(fl / 8.0) AS BIGINT) AS active, count(*) AS segments FROM m GROUP BY 1")
+    _add("plane_histogram", lambda sp, sf: A.plane_histogram(planes(sp, sf)), f"{_BASE} SELECT CAST(ceil(fl / 8.0) AS BIGINT) AS active, count(*) AS segments, min(seg) AS first_segment FROM m GROUP BY 1")
     _add("quantile_linear", lambda sp, sf: raw(sp, sf).agg(F.percentile("v", 0.9).alias("q")), "SELECT quantile_cont(value, 0.9) AS q FROM events")
     # Reliability
     _add("fixed_plane_sums", lambda sp, sf: _fixed(sp, sf).groupBy("plane").agg(F.sum("byte").alias("total"), F.count_if(F.col("byte") != 0).alias("active")), f"{_FIXED} SELECT plane, CAST(sum(byte) AS BIGINT) AS total, count(*) FILTER (byte <> 0) AS active FROM f GROUP BY plane")

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from sigplane.operators import reliability as R
-from sigplane.plans import queries
+from sigplane.plans import more_queries, queries  # noqa: F401  the first registers more
 
 SF = "/root/testdata/sf0.001"
 
