@@ -10,14 +10,66 @@ from __future__ import annotations
 
 import gc
 import re
+import unicodedata
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+
+@lru_cache(maxsize=1)
+def newer_letters() -> frozenset[str]:
+    """Characters that one library counts as letters or digits and the tokenizer's, of another Unicode version, doesn't.
+
+    Only characters that Python's own tables don't know yet can differ.  Behind an "a" or a "1" such a character
+    belongs to the same match or not; byte pairs that only merge within a match tell which.
+    """
+    import tiktoken
+
+    unknown = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+    found = []
+    for kind, before in (("L", "a"), ("N", "1")):
+        ranks = {bytes([b]): b for b in range(256)} | {before.encode() + bytes([b]): 256 + b for b in range(0xC2, 0xF5)}
+        probe = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        found += [c for c in regex.findall(rf"\p{{{kind}}}", unknown) if len(probe.encode_ordinary(before + c)) > len(c.encode())]
+    return frozenset(found)
+
+
+def _ranges(chars: Iterable[str]) -> str:
+    """The characters as ranges of a class."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in out)
+
+
 PATTERN = regex.compile(public_tokenizers.PATTERN)
+
+
+@lru_cache(maxsize=1)
+def _newer() -> tuple[re.Pattern[str] | None, regex.Pattern]:
+    """A search for newer letters, and the public pattern with the classes of the tokenizer's own Unicode version."""
+    ranges = _ranges(newer_letters())
+    if not ranges:
+        return None, PATTERN
+    own = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}][{ranges}]]")
+    own = own.replace(r" ?\p{L}+", rf" ?[\p{{L}}--[{ranges}]]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--[{ranges}]]+")
+    return re.compile(f"[{ranges}]"), regex.compile(own, regex.V1)
+
+
+def _found(text: str) -> list[str]:
+    if text.isascii():
+        return PATTERN.findall(text)
+    newer, own = _newer()
+    return (own if newer and newer.search(text) else PATTERN).findall(text)
+
+
 #: White space other than the space and the line feed; texts with any of it take the pattern.
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _ENDS = frozenset(".,;:!?")
@@ -27,7 +79,7 @@ def matches(text: str) -> list[str]:
     """All matches of the pattern, in order; joined they give the text."""
     if text.isascii() and text[:1] == " " and text[1:].isalpha():
         return [text]
-    return PATTERN.findall(text)
+    return _found(text)
 
 
 def is_plain(text: str) -> bool:
@@ -41,7 +93,7 @@ def unit_matches(unit: str) -> list[str]:
         return [" " + unit]
     if unit and unit[-1] in _ENDS and unit[:-1].isalpha():
         return [" " + unit[:-1], unit[-1]]
-    return PATTERN.findall(" " + unit)
+    return _found(" " + unit)
 
 
 class UnitCache:

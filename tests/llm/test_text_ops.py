@@ -230,6 +230,8 @@ def test_bpe_equals_the_library():
     theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(1)
     texts = ["".join(r.choice(" \n\tab  éß1!'s.　字") for _ in range(r.randrange(60))) for _ in range(500)] + ["a" * 20_000, "".join(r.choice("abc") for _ in range(20_000))]
+    # Characters of every block, among them such that one library's tables count as letters and the other's don't.
+    texts += [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}" for c in (*range(0x80, 0xD800, 7), *range(0x10000, 0x20000, 11), 0x10EE7, 0x16EA7)]
     got = bpe.encode_texts(texts, path)
     assert got == [theirs.encode_ordinary(t) for t in texts]
     decode = bpe.Encoder.from_file(path).decode
