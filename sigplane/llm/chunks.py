@@ -63,11 +63,18 @@ def _newer() -> tuple[re.Pattern[str] | None, regex.Pattern]:
     return re.compile(f"[{ranges}]"), regex.compile(own, regex.V1)
 
 
-def _found(text: str) -> list[str]:
+@lru_cache(maxsize=1)
+def _beyond() -> re.Pattern[str]:
+    """A quick search for characters from the first newer letter on."""
+    return re.compile(f"[^\\x00-\\U{ord(min(newer_letters(), default=chr(0x10FFFF))) - 1:08x}]")
+
+
+def has_newer(text: str) -> bool:
+    """Whether the plain pattern could cut the text otherwise than the tokenizer."""
     if text.isascii():
-        return PATTERN.findall(text)
-    newer, own = _newer()
-    return (own if newer and newer.search(text) else PATTERN).findall(text)
+        return False
+    newer, beyond = _newer()[0], _beyond()
+    return bool(newer and beyond.search(text) and newer.search(text))
 
 
 #: White space other than the space and the line feed; texts with any of it take the pattern.
@@ -79,7 +86,7 @@ def matches(text: str) -> list[str]:
     """All matches of the pattern, in order; joined they give the text."""
     if text.isascii() and text[:1] == " " and text[1:].isalpha():
         return [text]
-    return _found(text)
+    return (_newer()[1] if has_newer(text) else PATTERN).findall(text)
 
 
 def is_plain(text: str) -> bool:
@@ -88,12 +95,12 @@ def is_plain(text: str) -> bool:
 
 
 def unit_matches(unit: str) -> list[str]:
-    """Matches of a space and the unit; plain words skip the regular expression."""
+    """Matches of a space and the unit, which holds no newer letter; plain words skip the regular expression."""
     if unit.isalpha():
         return [" " + unit]
     if unit and unit[-1] in _ENDS and unit[:-1].isalpha():
         return [" " + unit[:-1], unit[-1]]
-    return _found(" " + unit)
+    return PATTERN.findall(" " + unit)
 
 
 class UnitCache:
@@ -146,7 +153,7 @@ class UnitCache:
                 gc.enable()
 
     def _texts(self, texts: list[str]) -> list:
-        plain = [is_plain(t) for t in texts]
+        plain = [is_plain(t) and not has_newer(t) for t in texts]
         heads = [t.split(" ", 1)[0] if ok else t for t, ok in zip(texts, plain, strict=True)]
         tails = pa.array([t[len(h) + 1 :] if len(t) > len(h) else None for t, h in zip(texts, heads, strict=True)], pa.large_string())
         units = pc.split_pattern(tails, " ")
