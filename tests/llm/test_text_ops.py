@@ -151,6 +151,21 @@ def test_line_dedup_bound_grows_with_the_line(spark):
     assert got[101] == "" and got[103] == "" and 0 < sum(x != "" for x in got.values()) < len(got)
 
 
+def test_lines_meet_on_more_than_one_word(spark):
+    r = random.Random(7)
+    made = [(d, f"{' '.join(f'v{r.randrange(10**9)}' for _ in range(r.randrange(2, 9)))} extraordinarily {' '.join(f'v{r.randrange(10**9)}' for _ in range(4))}") for d in range(200)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    keyed = lines._keyed(docs, lines._classes(docs))
+    assert keyed.count() == 200 and lines._shared(keyed).count() == 0
+    # No different line is left out with the later copies of others.
+    many = spark.createDataFrame([(d, " ".join(f"u{x}" for x in range(5 * e, 5 * e + 5))) for d in range(4000) for e in (d, d % 900)], "doc_id long, text string")
+    assert lines._keyed(many, lines._classes(many)).select("at").distinct().count() >= 4000
+    # Of five words each one may change, also the middle one, and one may be added.
+    near = [(i, " ".join("x" if j == i else w for j, w in enumerate("a b c d e".split()))) for i in range(1, 5)] + [(0, "a b c d e"), (9, "a b q c d e"), (10, "a b y d x")]
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(near, "doc_id long, text string")).collect()}
+    assert got == {0: "a b c d e", 1: "", 2: "", 3: "", 4: "", 9: "", 10: ""}
+
+
 def test_jaccard_components(spark):
     r = random.Random(2)
     docs, base = [], [f"b{i}" for i in range(60)]
