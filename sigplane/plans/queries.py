@@ -159,7 +159,7 @@ def _register() -> None:
     cells = R.grid([1e-9, 1e-7, 1e-5, 1e-4], list(range(10)))
 
     def campaign(sp: SparkSession, sf: str) -> DataFrame:
-        return R.campaign(sp, _fixed(sp, sf), raw(sp, sf).count(), cells)
+        return R.campaign(sp, R.fixed_codes(raw(sp, sf)), raw(sp, sf).count(), cells)
 
     _add("campaign", campaign)
     _add("campaign_summary", lambda sp, sf: campaign(sp, sf).groupBy("policy", "outcome").agg(F.count("*").alias("cells"), F.avg(F.col("contains_truth").cast("int")).alias("contained")))

@@ -57,3 +57,28 @@ def test_severities_change_the_plans():
     size = lambda f, i: len(R.fault_plan(f, 1e-9, 1, 100_000, copies, severity=R.SEVERITIES[f][i]))
     assert (size("short_burst", 0), size("short_burst", 1), size("long_run", 0), size("long_run", 1), size("region_burst", 0)) == (2, 4, 8, 512, 10)
     assert size("column_offset", 1) > 5 * size("column_offset", 0) and 1800 < size("dense_region", 0) < 2300
+
+
+def test_campaign_draws_a_plan_once_for_all_policies(spark):
+    codes = R.fixed_codes(spark.createDataFrame([(i, (i * 37 % 1001) / 7.0) for i in range(3000)], "row_id long, v double"))
+    plans = list(dict.fromkeys(x[1:] for x in R.grid([1e-3], [1, 2])))
+    assert len(plans) == 11 * 2
+    # As many events as one policy of three copies has, whatever the number of policies.
+    assert R.plan_events(spark, plans, 3000).count() == sum(len(R.fault_plan(f, rate, seed, 3000, [3] * 8, severity=R.SEVERITIES[f][v])) for f, v, rate, seed in plans)
+    cells = [c for c in R.grid([1e-3], [1, 2]) if c[0] in ("uniform_r1", "uniform_r2", "uniform_r3", "graded_b3") and c[1] in ("twin", "mixed", "short_burst")]
+    got = {(x["policy"], x["family"], x["severity"], x["seed"]): x for x in R.campaign(spark, codes, 3000, cells).collect()}
+    clean, copies = {x["row_id"]: x["code"] for x in codes.collect()}, {n: [1 + y for y in e] for n, _, _, e in R.catalogue()}
+    assert len(got) == len(cells) == 4 * 4 * 2
+    for policy, family, v, rate, seed in cells:
+        masks: dict = {}
+        for p, c, at, m in R.fault_plan(family, rate, seed, 3000, copies[policy], severity=R.SEVERITIES[family][v]):
+            masks[p, at, c] = masks.get((p, at, c), 0) ^ m
+        damage, struck = 0, set()
+        for p, at in {(p, at) for (p, at, _), m in masks.items() if m}:
+            byte = clean[at] >> 8 * (7 - p) & 255
+            now = [byte ^ masks.get((p, at, c), 0) for c in range(copies[policy][p])]
+            given = now[0] if len(now) < 3 else next((x for x in now if now.count(x) > 1), min(now))
+            damage += (given - byte) * 256 ** (7 - p)
+            struck.add(p)
+        x = got[policy, family, v, seed]
+        assert (int(x["clean_answer"]), int(x["damage"]), x["faulted_planes"]) == (sum(clean.values()), damage, sorted(struck))
