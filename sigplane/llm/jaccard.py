@@ -11,7 +11,11 @@ of near copies with as many pairs as it has members.  Then all pairs that share
 connected are looked at, so no link between components is lost.  The join itself leaves out what can't be
 linked: each set has parity bits, one for each part of the hash space, that tell whether an odd number of its
 shingles lies there.  Two sets differ in at least as many shingles as parity bits, and linked sets differ in
-few; so of a large group of half-alike sets hardly a pair leaves the join.
+few; so of a large group of half-alike sets hardly a pair leaves the join.  A pair leaves it at its first common
+key only.
+
+All links of a document lie in its component, so they are counted there: the component's sets are dealt out in
+blocks, and each two blocks are multiplied fragment by fragment, which gives all overlaps without a row for each pair.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigplane.llm import storage
@@ -33,6 +37,10 @@ FRAGMENTS = 4
 PARITY = 8
 #: Shingles told as frequent: this only orders them, so the bound costs no link.
 FREQUENT, IN_BATCH = 100_000, 8
+#: Keys before a key that tell whether a pair has met before; further ones would only spare repeated pairs.
+EARLIER = 64
+#: Sets of a block, and columns multiplied at once, when links are counted.
+BLOCK, AT_ONCE = 256, 8192
 #: Keys of a representative that look for a hub; the last round uses all.
 HUB_KEYS = 8
 #: Bits of the bitmaps of shared keys and of documents to read again for each of them, and at most; a full one costs time only.
@@ -262,20 +270,82 @@ def _open_pairs(reps: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     spared = F.floor((smaller - F.ceil(smaller * percent / 100) + 1) / 2)
     lists = keys.join(met, "key").groupBy("rep").agg(F.first("comp").alias("comp"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("by_df"))  # no longer than a document's prefix
     rare = lists.join(reps.select("rep", "n", *_BITS), "rep").where(F.size("by_df") > spared)
-    rare = rare.select("rep", "n", "comp", *_BITS, F.explode(F.slice("by_df", F.lit(1), (F.size("by_df") - spared).cast("int"))["key"]).alias("key"))
+    rare = rare.withColumn("kept", F.slice("by_df", F.lit(1), F.greatest(F.size("by_df") - spared, F.lit(0)).cast("int"))["key"])
+    rare = rare.select("rep", "n", "comp", *_BITS, "kept", F.posexplode("kept").alias("at", "key"))
+    # All lists have one order, so a key is the first of a pair if no earlier one is common too.
+    rare = rare.select("rep", "n", "comp", *_BITS, F.slice("kept", F.lit(1), F.least("at", F.lit(EARLIER))).alias("earlier"), "key")
     rare = storage.written(rare, "rare")
-    left = rare.toDF("a", "na", "ca", *(f"l_{b}" for b in _BITS), "key")
-    right = rare.toDF("b", "nb", "cb", *(f"r_{b}" for b in _BITS), "key")
+    left = rare.toDF("a", "na", "ca", *(f"l_{b}" for b in _BITS), "ea", "key")
+    right = rare.toDF("b", "nb", "cb", *(f"r_{b}" for b in _BITS), "eb", "key")
     apart = sum((F.bit_count(F.col(f"l_{b}").bitwiseXOR(F.col(f"r_{b}"))) for b in _BITS), F.lit(0))
-    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _compatible(percent) & (apart <= _differ(percent))
+    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _compatible(percent) & (apart <= _differ(percent)) & ~F.arrays_overlap("ea", "eb")
     return left.join(right, (left["key"] == right["key"]) & fits).select("a", "b", "na", "nb").distinct()
 
 
+def _overlap_table(one: list[tuple[np.ndarray, np.ndarray]], two: list[tuple[np.ndarray, np.ndarray]], sizes: tuple[int, int]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``one`` and each of ``two``, given by fragment as (place, hash); partial counts are added."""
+    total = np.zeros(sizes, np.float32)  # whole numbers, exact up to 2^24
+    for (p, x), (q, y) in zip(one, two, strict=True):
+        common = np.intersect1d(x, y)
+        x_on, y_on = np.isin(x, common), np.isin(y, common)
+        p, x, q, y = p[x_on], np.searchsorted(common, x[x_on]), q[y_on], np.searchsorted(common, y[y_on])
+        for low in range(0, len(common), AT_ONCE):
+            width = min(AT_ONCE, len(common) - low)
+            a, b = np.zeros((sizes[0], width), np.float32), np.zeros((sizes[1], width), np.float32)
+            i, j = (x >= low) & (x < low + width), (y >= low) & (y < low + width)
+            a[p[i], x[i] - low] = 1
+            b[q[j], y[j] - low] = 1
+            total += a @ b.T
+    return total
+
+
+def link_counts(reps: DataFrame, label: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """(rep, n_links): the number of all sets linked with each representative of a component of two or more.
+
+    Blocks hold sets of like size, and blocks whose sizes allow for no link don't meet.  A component of two is one link.
+    """
+    at = F.row_number().over(Window.partitionBy("comp").orderBy("n", "rep")) - 1
+    placed = label.join(reps.select("rep", "n"), "rep").withColumn("block", F.floor(at / BLOCK).cast("int")).withColumn("members", F.count("*").over(Window.partitionBy("comp")))
+    placed = storage.written(placed, "placed")
+    large = placed.where("members > 2")
+    blocks = large.groupBy("comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one, two = blocks.toDF("comp", "x", "x_low", "x_high"), blocks.toDF("comp", "y", "y_low", "y_high")
+    meet = one.join(two, "comp").where((F.col("x") <= F.col("y")) & (F.col("x_high") * 100 >= F.col("y_low") * percent)).select("comp", "x", "y")
+    turns = meet.select("comp", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    sets = segments.withColumnRenamed("doc_id", "rep").join(large.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("fragment", "segment")).alias("parts"))  # a row for each fragment
+    dealt = large.join(sets, "rep").join(turns, ["comp", "block"]).select("comp", "x", "y", "block", "rep", "n", "parts")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x, y = key[1].as_py(), key[2].as_py()
+        side = table["block"].to_numpy()
+        ids, n, parts = table["rep"].to_numpy(), table["n"].to_numpy(), table["parts"].to_pylist()
+
+        def of(block: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+            mine = np.flatnonzero(side == block)
+            found: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(FRAGMENTS + 1)]
+            for place, row in enumerate(mine):
+                for part in parts[row]:
+                    found[part["fragment"]].append((place, np.frombuffer(part["segment"], np.uint64)))
+            none = np.empty(0, np.uint64)
+            return mine, [(np.repeat(np.array([i for i, _ in f], int), [len(s) for _, s in f]), np.concatenate([*(s for _, s in f), none])) for f in found]
+
+        (a, one), (b, two) = of(x), of(y)
+        overlap = _overlap_table(one, two, (len(a), len(b))).astype(np.int64)
+        linked = 100 * overlap >= percent * (n[a][:, None] + n[b][None, :] - overlap)
+        linked &= ids[a][:, None] != ids[b][None, :]
+        counts = [linked.sum(1)] if x == y else [linked.sum(1), linked.sum(0)]
+        return pa.table({"rep": pa.array(np.concatenate([ids[a], ids[b]][: len(counts)])), "c": pa.array(np.concatenate(counts).astype(np.int64))})
+
+    counted = dealt.groupBy("comp", "x", "y").applyInArrow(run, "rep long, c long").groupBy("rep").agg(F.sum("c").alias("n_links"))
+    pairs = placed.where("members = 2").select("rep", F.lit(1).cast("long").alias("n_links"))
+    return pairs.unionByName(counted)
+
+
 def join(docs: DataFrame, *, words_each: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of each row of ``docs`` (doc_id, text).
 
-    ``component_id`` is the least doc_id reachable by links; ``n_links`` counts the verified links of the
-    document's set with other sets, which connect its component.  A text without words, or null, is linked
+    ``component_id`` is the least doc_id reachable by links; ``n_links`` counts all other sets that the
+    document's set is linked with.  A text without words, or null, is linked
     with nothing.  Equal texts are linked.  Rows of one doc_id are one node.  A row
     with a null id has a null component.  An empty table gives no rows; extra columns are ignored.
     """
@@ -295,7 +365,7 @@ def join(docs: DataFrame, *, words_each: int = SHINGLE, percent: int = PERCENT)
     edges = edges.unionByName(rest)
     if rest.limit(1).count():
         label = components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    degree = storage.written(link_counts(reps, label, segments, percent), "links")
     mine = sets.join(classes.select("hi", "lo", "class_rep"), ["hi", "lo"], "left")
     mine = mine.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("class_rep", "doc_id")).alias("rep"))
     out = mine.join(label, "rep", "left").join(degree, "rep", "left")

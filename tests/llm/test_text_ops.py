@@ -192,6 +192,32 @@ def test_jaccard_components(spark):
     assert got == {d: (len(s), top(d)) for d, s in sets.items()}
 
 
+def test_jaccard_counts_all_links(spark, monkeypatch):
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    docs = [(i, " ".join(f"x{r.randrange(1000)}" if r.random() < 0.008 else w for w in base[: r.choice((100, 110, 120))])) for i in range(80)]
+    docs += [(100, "one two three four five"), (101, "ONE two three four five"), (102, ""), (103, None), *((110 + i, " ".join(f"z{j}" for j in range(40 + i))) for i in range(2))]
+    sets = {d: frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) for d, t in docs for w in [(t or "").lower().split()]}
+    linked = lambda x, y: x != y and 100 * len(x & y) >= 85 * len(x | y)
+    want = {d: sum(linked(s, other) for other in set(sets.values()) if other) if s else 0 for d, s in sets.items()}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x["doc_id"]: x["n_links"] for x in jaccard.join(frame).collect()} == want and max(want.values()) > 30
+    # The same in many small blocks and columns.
+    sizes = jaccard.shingles
+    reps = spark.createDataFrame([(d, len(sizes(t)), 0) for d, t in docs[:80]], "rep long, n long, comp long")
+    alone = {s: d for d, s in sorted(sets.items(), reverse=True) if d < 80}
+    reps = reps.where(F.col("rep").isin(*alone.values()))
+    every = np.full(1 << 10, -1, np.int64).view(np.uint64)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    parts = jaccard._segments(frame, every, np.sort(sizes(docs[0][1])[:20]), jaccard.SHINGLE)
+    got = jaccard.link_counts(reps.select("rep", "n"), reps.select("rep", "comp"), parts, 85)
+    assert {x["rep"]: x["n_links"] for x in got.collect()} == {d: want[d] for d in alone.values()}
+    monkeypatch.setattr(jaccard, "AT_ONCE", 5)
+    a = [np.unique(np.random.default_rng(i).integers(0, 60, 30).astype(np.uint64)) for i in range(9)]
+    flat = [(np.repeat(np.arange(9), [len(x) for x in a]), np.concatenate(a))]
+    assert jaccard._overlap_table(flat, flat, (9, 9)).tolist() == [[len(np.intersect1d(x, y)) for y in a] for x in a]
+
+
 def test_packing_covers_every_id(spark):
     rows = packing.pack(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet'").fetchall())
