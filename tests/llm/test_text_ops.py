@@ -151,6 +151,37 @@ def test_line_dedup_bound_grows_with_the_line(spark):
     assert got[101] == "" and got[103] == "" and 0 < sum(x != "" for x in got.values()) < len(got)
 
 
+def test_near_lines_behind_another_line_are_not_all_paired(spark, monkeypatch):
+    """An early line that shares a run with a group of near lines, without being near, must not make all pairs of the group."""
+    shared, base = "extraordinarily incomprehensible counterrevolutionaries", [f"word{i}" for i in range(30)]
+    group = [" ".join([shared, *base[:i % 30], f"own{i}", *base[i % 30 + 1 :]]) for i in range(100)]
+    made = [(1, f"{shared} and nothing else of it at all"), *((k + 2, line) for k, line in enumerate(group))]
+    rows, write = [], lines.storage.written
+
+    def written(df, label):
+        out = write(df, label)
+        if label in ("pairs", "met", "other-pairs"):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines.storage, "written", written)
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got[1] and got[2] and not any(got[k] for k in range(3, 102))
+    assert sum(rows) <= 10 * len(made)  # all pairs are 4,950
+
+
+def test_pairs_of_lines_are_formed_at_their_first_common_key(spark):
+    """Lines with many common runs that aren't near make one row a pair in the join, not one for each run."""
+    made = [(k, "n" * 3 + " " + " ".join(f"passage{i}" for i in range(40))) for k in range(12)]
+    docs = spark.createDataFrame([(k, f"{text} x{k}") for k, text in made], "doc_id long, text string")
+    keyed = lines._keyed(docs, lines._classes(docs))
+    rows = keyed.select(*lines._OWN, "keys", F.explode("keys").alias("key"))
+    pairs = lines._pairs(lines.storage.written(rows, "rows"), rows.withColumn("keys", F.slice("keys", 1, lines.LEAST)))
+    join = pairs._jdf.queryExecution().optimizedPlan().children().head().children().head()
+    made_rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, join).count()
+    assert pairs.count() == made_rows == 12 * 11 // 2
+
+
 def test_lines_meet_on_more_than_one_word(spark):
     r = random.Random(7)
     made = [(d, f"{' '.join(f'v{r.randrange(10**9)}' for _ in range(r.randrange(2, 9)))} extraordinarily {' '.join(f'v{r.randrange(10**9)}' for _ in range(4))}") for d in range(200)]
