@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -182,6 +184,23 @@ def test_pairs_of_lines_are_formed_at_their_first_common_key(spark):
     assert pairs.count() == made_rows == 12 * 11 // 2
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """Else they take disk until the driver happens to collect its garbage."""
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count(".data")
+
+    before, setting = files(), spark.conf.get(lines.storage._CLEANUP)
+    made = lines.storage.written(spark.range(1000).groupBy((F.col("id") % 700).alias("k")).count(), "counts")
+    end = time.time() + 20
+    while files() > before and time.time() < end:
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(lines.storage._CLEANUP) == setting and made.count() == 700
+    path = made.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.exists(path)
+    lines.storage.dropped(made)
+    assert not os.path.exists(path)
+
+
 def test_lines_meet_on_more_than_one_word(spark):
     r = random.Random(7)
     made = [(d, f"{' '.join(f'v{r.randrange(10**9)}' for _ in range(r.randrange(2, 9)))} extraordinarily {' '.join(f'v{r.randrange(10**9)}' for _ in range(4))}") for d in range(200)]
