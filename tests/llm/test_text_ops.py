@@ -8,6 +8,7 @@ import os
 import random
 import re
 import time
+from functools import reduce
 
 import duckdb
 import numpy as np
@@ -201,6 +202,43 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert not os.path.exists(path)
 
 
+def test_only_shared_variants_are_kept_and_only_open_groups_joined(spark, monkeypatch):
+    """Variants of one line are deleted before lines meet; a line that has met all of a group isn't joined there again."""
+    r, rows, gone, write, drop = random.Random(8), {}, [], lines.storage.written, lines.storage.dropped
+    some = lambda: " ".join(f"v{r.randrange(10**9)}" for _ in range(8))
+    many, two = "extraordinarily incomprehensible counterrevolutionaries", "internationalization misunderstandings characteristically"
+    made = [(k, f"{many} {some()}") for k in range(9)] + [(20, f"{two} {some()}"), (21, f"{many} {some()} {two} {some()}")]
+
+    def written(df, label):
+        out = write(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(lines.storage, "written", written)
+    monkeypatch.setattr(lines.storage, "dropped", lambda df: (gone.append(df.count()), drop(df)))
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == dict(made) and gone == [len(made)]
+    assert rows["own"] <= 16 and rows["doubted"] == 4  # lines 7 to 9 of the nine and the last; not the last by the group of two
+
+
+def test_different_words_of_one_letter_stay_apart(spark):
+    found = {}
+    for row in spark.range(12_000).select(F.concat(F.lit("w"), "id").alias("w")).select("w", lines._number(F.col("w")).alias("x")).collect():
+        found.setdefault(row["x"], []).append(row["w"])
+    same = [x[:2] for x in found.values() if len(x) > 1][:3]
+    line = " ".join(["a b c", same[0][0], "d e", same[1][0], "f g", same[2][0]])
+    changed = line
+    for x, y in same:
+        changed = changed.replace(x, y)
+    near = line.replace(*same[0]).replace(*same[1])
+    docs = spark.createDataFrame([(1, line), (2, changed), (3, near)], "doc_id long, text string")
+    assert len(same) == 3 and {x["doc_id"]: x["text"] for x in lines.dedup_lines(docs).collect()} == {1: line, 2: changed, 3: ""}
+    # The two are told apart by their words, whatever pairs come in.
+    places = {d: F.struct(F.lit(d).cast("long").alias("doc_id"), F.lit(0).alias("line_no")) for d in (1, 2, 3)}
+    pairs = reduce(lambda a, b: a.unionByName(b), (spark.range(1).select(places[d].alias("at"), places[1].alias("earlier")) for d in (2, 3)))
+    assert [x["at"]["doc_id"] for x in lines._within(pairs, lines._texts(pairs, docs)).collect()] == [3]
+
+
 def test_lines_meet_on_more_than_one_word(spark):
     r = random.Random(7)
     made = [(d, f"{' '.join(f'v{r.randrange(10**9)}' for _ in range(r.randrange(2, 9)))} extraordinarily {' '.join(f'v{r.randrange(10**9)}' for _ in range(4))}") for d in range(200)]
