@@ -82,3 +82,15 @@ def test_campaign_draws_a_plan_once_for_all_policies(spark):
             struck.add(p)
         x = got[policy, family, v, seed]
         assert (int(x["clean_answer"]), int(x["damage"]), x["faulted_planes"]) == (sum(clean.values()), damage, sorted(struck))
+
+
+def test_plans_have_all_their_bursts(spark):
+    rows, copies = 30_000, [3] * 8
+    size = lambda f, i, rate: len(R.fault_plan(f, rate, 1, rows, copies, severity=R.SEVERITIES[f][i]))
+    # 300 bursts, runs or regions; no number of them is a limit.
+    assert (size("short_burst", 1, 1e-2), size("long_run", 0, 1e-2), size("dense_region", 0, 1e-2)) == (300 * 4, 300 * 8, 300 * 2048)
+    assert len(R.fault_plan("dense_region", 1e-9, 1, rows, copies, severity={"n_regions": 150, "region_size": 10, "density": 0.5})) == 150 * 5
+    plans = [("short_burst", 1, 1e-2, 1), ("long_run", 0, 1e-2, 2), ("twin", 0, 1e-2, 3)]
+    want = sorted((i, *e) for i, (f, v, rate, seed) in enumerate(plans) for e in R.fault_plan(f, rate, seed, rows, copies, severity=R.SEVERITIES[f][v]))
+    got = R.plan_events(spark, plans, rows).select("plan", "plane", "replica", "row_id", "mask").collect()
+    assert sorted(map(tuple, got)) == want and len({e[3] for e in want if e[0] == 1}) > 2000  # blocks differ
