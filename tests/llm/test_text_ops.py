@@ -221,6 +221,41 @@ def test_only_shared_variants_are_kept_and_only_open_groups_joined(spark, monkey
     assert rows["own"] <= 16 and rows["doubted"] == 4  # lines 7 to 9 of the nine and the last; not the last by the group of two
 
 
+def test_long_lines_that_share_a_passage_are_not_all_paired(spark, monkeypatch):
+    """A near line shares many runs, so lines of a large group that share few need no join; near ones behind others are found."""
+    r, rows, write = random.Random(9), {}, lines.storage.written
+    passage = "extraordinarily incomprehensible counterrevolutionaries internationalization misunderstandings".split()
+    some = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    whole = [f"characteristically{i}" for i in range(30)]
+    made = [(k, some(20) + passage + some(30)) for k in range(60)]  # three runs in common
+    made += [(100 + k, some(14 - k) + whole + some(2 * k)) for k in range(9)]  # 28 in common, of which the last is near to the third only
+    made[-1] = (108, [*made[-7][1][:20], "x", *made[-7][1][21:]])
+    made = [(k, " ".join(w)) for k, w in made]
+
+    def written(df, label):
+        out = write(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(lines.storage, "written", written)
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    words = {k: line.split() for k, line in made}
+    gone = {k for k in words for e in words if e < k and _distance(words[e], words[k]) <= min(len(words[e]), len(words[k])) // 5}
+    assert 108 in gone and got == {k: "" if k in gone else line for k, line in made}
+    assert rows["opened"] < 9  # none of the sixty
+
+
+def test_pairs_too_far_apart_by_length_and_parity_are_left_out(spark):
+    """Of 50 words eight others and two more are ten edits; seven others and eight more are fifteen, though few parity bits differ."""
+    base = [f"w{i}" for i in range(50)]
+    other = lambda k, n: " ".join([*(f"o{i}" for i in range(k)), *base[k:], *(f"e{i}" for i in range(n))])
+    docs = spark.createDataFrame([(0, " ".join(base)), (1, other(8, 2)), (2, other(10, 0)), (3, other(7, 8))], "doc_id long, text string")
+    rows = lines._keyed(docs, lines._classes(docs)).select("at.doc_id", *lines._OWN)
+    a, b = (rows.select(*(F.col(c).alias(f"{x}_{c}") for c in rows.columns)) for x in "ab")
+    near = {tuple(x) for x in a.crossJoin(b).where(lines._may_be_near("a_", "b_") & (F.col("a_doc_id") == 0)).select("b_doc_id").collect()}
+    assert near == {(0,), (1,), (2,)}
+
+
 def test_different_words_of_one_letter_stay_apart(spark):
     found = {}
     for row in spark.range(12_000).select(F.concat(F.lit("w"), "id").alias("w")).select("w", lines._number(F.col("w")).alias("x")).collect():
